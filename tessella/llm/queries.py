@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, decontaminate, pii, quality, shard, simhash, token_files, toxicity
+from tessella.llm import byte_bpe, decontaminate, html_text, pii, quality, shard, simhash, suffix_dedup, token_files, toxicity
 from tessella.llm._common import table
 
 
@@ -39,6 +39,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.placed(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_from_tables(docs, table(spark, sf_dir, "labels"))
@@ -46,6 +50,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_byte_bpe, op4_arrow_tokens, op5_quality, op6_simhash, op7_sharding, op9_toxicity)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_pii, op3_byte_bpe, op4_arrow_tokens, op5_quality, op6_simhash, op7_sharding, op8_suffix_dedup, op9_toxicity, op10_html)}
 #: DuckDB SQL of those that SQL expresses; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {}
