@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._common import delete_path, map_batches, shared_dir
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: Bytes hashed at once; a longer text is taken in pieces that overlap by LENGTH - 1 bytes.
 PIECE = 1 << 20
 #: Bytes of one suffix array, about; a key's runs stay together.
