@@ -16,6 +16,8 @@ with a null id come first; an empty table gives no file.
 
 from __future__ import annotations
 
+import gc
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,32 +37,82 @@ LENGTH, BATCH, END = 2048, 64, 1
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text of one file, about.
 BUCKET_BYTES = 16 << 20
-MOST_CACHED = 400_000
+MOST_CACHED = 1_000_000
+#: Punctuation that is cut from behind a word of letters.
+TAIL = ".,;:!?"
 MANIFEST = "doc_id long, bucket int, file string, place long, n_tokens long"
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library; words between ASCII white space are encoded once and remembered.
+    """Encodes texts with the tokenizers library; what stands between ASCII white space is encoded once and remembered.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are those of its words.
+    The tokenizer drops white space and never joins characters across it, so a text's ids are those of its words.  It also
+    cuts letters from punctuation and lower-cases them, so a word of letters with punctuation behind has the ids of the
+    letters in lower case, then those of the punctuation.  Many such letter sequences are encoded in one call, whose ids
+    are cut behind each id that ends a word.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text and the end id, as bytes of self.dtype."""
-        words = text.encode().split()
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > MOST_CACHED:
-                self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([*map(self.known.__getitem__, words), np.array([END], self.dtype).tobytes()])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(words):
+            return self._one_by_one(words)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        at = [0, *(cut * size).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.letters) > MOST_CACHED:
+            self.letters.clear()
+        known, letters = self.known, self.letters
+        later, odd = [], []
+        for w in words:
+            text = w.decode()
+            core = text.rstrip(TAIL)
+            low = core.lower()
+            if core.isalpha() and (core.isascii() or len(low) == len(core) and "Σ" not in core and unicodedata.is_normalized("NFC", core)):
+                tail = text[len(core) :]
+                ids = letters.get(low)
+                if ids is None or tail and tail not in letters:
+                    later.append((w, low, tail))
+                else:
+                    known[w] = ids + letters[tail] if tail else ids
+            else:
+                odd.append(text)
+        if pure := list({low for _, low, _ in later if low not in letters}):
+            letters.update(zip(pure, self._together(pure), strict=True))
+        if tails := list({tail for _, _, tail in later if tail and tail not in letters}):
+            letters.update(zip(tails, self._one_by_one(tails), strict=True))
+        for w, low, tail in later:
+            known[w] = letters[low] + letters[tail] if tail else letters[low]
+        if odd:
+            known.update(zip(map(str.encode, odd), self._one_by_one(odd), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id, as bytes of self.dtype."""
+        gc.disable()  # millions of words and no cycle among them
+        split = [t.encode().split() for t in texts]
+        if len(self.known) > MOST_CACHED:
+            self.known.clear()
+        found = [list(map(self.known.get, words)) for words in split]
+        if new := {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}:
+            self._learn(new)
+        end = np.array([END], self.dtype).tobytes()
+        out = [b"".join([*(ids if None not in ids else map(self.known.__getitem__, words)), end]) for words, ids in zip(split, found, strict=True)]
+        gc.enable()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -167,7 +219,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, bucket_bytes: i
         enc, now, writer, sink, name = encoder(path), None, None, None, ""
         for batch in batches:
             out = []
-            for d, b, t in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "bucket", "text")), strict=True):
+            encoded = enc.encode_all(batch.column("text").to_pylist())
+            for d, b, ids in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "bucket")), encoded, strict=True):
                 if b != now:
                     if writer:
                         writer.close()
@@ -177,14 +230,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None, bucket_bytes: i
                     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
                     sink = fs.open_output_stream(p)
                     writer = SequenceWriter(sink, enc.dtype)
-                ids = enc.encode(t)
                 out.append((d, b, name, writer.append(ids), len(ids) // enc.dtype.itemsize))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
         if writer:
             writer.close()
             sink.close()
 
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
+    dealt = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
     dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
