@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import id_and_text, map_batches
+from tessella.llm._common import id_and_text, map_batches, pinned
 
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 3000, 5000
 THRESHOLD = 0.3
 PREFIX_LENGTHS = (4, 5, 6)
+#: Telling features that are looked at, those with most toxic rows first.
+MOST_STRONG = 3000
 #: Size of the lexicon beyond which no further feature is added.
 MOST_ENTRIES = 60
 #: Longest clause, in tokens, over which a context word still acts.
@@ -123,22 +125,37 @@ def _features(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in PREFIX_LENGTHS if len(w) >= n}
 
 
-def learn_lexicon(samples: list[tuple[int, set[str]]], least: int = 3) -> tuple[dict[str, float], dict[str, float]]:
-    """Sequential covering: the feature that marks most toxic rows not marked yet, while hardly any other row has it."""
-    toxic = [f for y, f in samples if y]
-    clean = [f for y, f in samples if not y]
-    if not toxic:
-        return {}, {}
+def count_features(samples: list[tuple[int, str]]) -> dict[str, tuple[int, int]]:
+    """Toxic and other rows that have each feature."""
+    counts = Counter(), Counter()
+    for y, t in samples:
+        counts[y].update(_features(t))
+    return {x: (n, counts[0][x]) for x, n in counts[1].items()}
+
+
+def floor_of(toxic: int) -> int:
+    """Toxic rows that a feature must mark."""
+    return max(3, toxic // 400)
+
+
+def is_strong(hits: int, against: int, toxic: int, clean: int) -> bool:
+    ratio = max(1, clean) / max(1, toxic)
+    return hits >= floor_of(toxic) and hits * ratio**0.5 >= 25 * (against + 0.2)
+
+
+def learn_lexicon(texts: list[str], counts: dict[str, tuple[int, int]], clean: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Sequential covering of the toxic texts: the feature that marks most of those not marked yet comes next.
+
+    counts: the strong features, with the toxic and other rows that have them.
+    """
     have: dict[str, set[int]] = defaultdict(set)
-    for i, f in enumerate(toxic):
-        for x in f:
-            have[x].add(i)
-    have = {x: s for x, s in have.items() if len(s) >= least}
-    against = Counter(x for f in clean for x in f if x in have)
-    ratio = max(1, len(clean)) / len(toxic)
-    strong = {x: s for x, s in have.items() if len(s) * ratio >= 25 * (against[x] + 0.2) * ratio ** 0.5}
-    floor = max(least, len(toxic) // 400)
-    strong = {x: s for x, s in strong.items() if len(s) >= floor}
+    for i, t in enumerate(texts):
+        for x in _features(t):
+            if x in counts:
+                have[x].add(i)
+    ratio, floor = max(1, clean) / max(1, len(texts)), floor_of(len(texts))
+    against = {x: n for x, (_, n) in counts.items()}
+    strong = dict(have)
 
     def as_word(x: str) -> str:
         """The one word that nearly all rows with a word beginning have, if there is one."""
@@ -148,7 +165,7 @@ def learn_lexicon(samples: list[tuple[int, set[str]]], least: int = 3) -> tuple[
     def weight(x: str) -> float:
         return math.log((len(have[x]) + 0.5) * ratio / (against[x] + 0.5)) / 4
 
-    left, chosen = set(range(len(toxic))), {}
+    left, chosen = set(range(len(texts))), {}
     queue = [(-len(s), against[x], len(x), x) for x, s in strong.items()]
     heapq.heapify(queue)
     while queue:  # gains only shrink, so a stale head is put back with its present gain
@@ -183,11 +200,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def fit(samples: list[tuple[int, str]]) -> ToxicityModel:
-    """Learn lexicon and weights from (label, text) rows."""
+def fit(samples: list[tuple[int, str]], counts: dict[str, tuple[int, int]] | None = None) -> ToxicityModel:
+    """Learn lexicon and weights from (label, text) rows; counts: of the strong features, if known already."""
     if not samples:
         return ToxicityModel(weights=[0, 0, 0, 0, 2.5])
-    words, prefixes = learn_lexicon([(y, _features(t)) for y, t in samples])
+    toxic = [t for y, t in samples if y]
+    clean = len(samples) - len(toxic)
+    if counts is None:
+        found = {x: c for x, c in count_features(samples).items() if is_strong(*c, len(toxic), clean)}
+        counts = dict(sorted(found.items(), key=lambda e: (-e[1][0], e[0]))[:MOST_STRONG])
+    words, prefixes = learn_lexicon(toxic, counts, clean)
     model = ToxicityModel(words, prefixes)
     x = np.array([[math.log1p(v) for v in model.clause_counts(t)] + [1.0] for _, t in samples])
     y = np.array([y for y, _ in samples], float)
@@ -208,9 +230,23 @@ def fit_from_tables(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     order = F.xxhash64("doc_id")
     picked = known.where("y = 1").orderBy(order, "doc_id").limit(TRAIN_POSITIVE).unionByName(known.where("y = 0").orderBy(order, "doc_id").limit(TRAIN_NEGATIVE))
-    rows = id_and_text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
-    # Whole texts are read; what leaves the executors is bounded by the sample.
-    return fit([(r.y, r.text) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.y, r.text))])
+    rows = pinned(id_and_text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text"))
+
+    def count(batch: pa.RecordBatch) -> dict:
+        counts = Counter(), Counter()
+        for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            counts[y].update(_features(t))
+        keys = list(counts[0] | counts[1])
+        return {"x": keys, "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]}
+
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    toxic, clean = n.get(1, 0), n.get(0, 0)
+    ratio = max(1, clean) / max(1, toxic)
+    sums = map_batches(rows, count, "x string, toxic long, clean long").groupBy("x").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    strong = sums.where((F.col("t") >= floor_of(toxic)) & (F.col("t") * ratio**0.5 >= 25 * (F.col("c") + 0.2))).orderBy(F.desc("t"), "x").limit(MOST_STRONG)
+    counts = {r["x"]: (r["t"], r["c"]) for r in strong.collect()}
+    # What reaches the driver is bounded by the sample.
+    return fit([(r.y, r.text) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.y, r.text))], counts)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
