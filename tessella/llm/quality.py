@@ -90,10 +90,11 @@ def _shares() -> dict[str, F.Column]:
 
 
 def _log_tail(k: int, n: int, p: float) -> float:
-    """log P(X <= k) of a binomial."""
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 400), k + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
+    """log P(X <= k) of a binomial, for k below its mean: terms shrink from k down; those left out are below e^-40 of all."""
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    i = np.arange(k, max(0, k - 400 - 40 * math.isqrt(k)), -1, dtype=float)
+    steps = np.log(i) - np.log(n - i + 1) + math.log1p(-p) - math.log(p)
+    return top + math.log1p(float(np.exp(np.cumsum(steps)).sum()))
 
 
 def upper_bound(k: int, n: int, level: float) -> float:

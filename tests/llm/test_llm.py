@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -184,6 +185,9 @@ def test_measures_match_brute_force():
 def test_bounds_are_exact_and_cutoffs_hold_their_risk():
     assert quality.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100))
     assert quality.upper_bound(3, 50, 0.05) == pytest.approx(0.1478, abs=2e-4)
+    # Many rows: P(X <= 200000) of 10^7 at 0.0201, by the normal law with its continuity correction.
+    deviations = (200_000.5 - 201_000) / (201_000 * 0.9799) ** 0.5
+    assert math.exp(quality._log_tail(200_000, 10**7, 0.0201)) == pytest.approx(math.erfc(-deviations / 2**0.5) / 2, rel=0.02)
     rng = np.random.default_rng(5)
     broken = 0
     for _ in range(60):
