@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     folder = shared_dir(spark)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         # Shuffle files of finished steps go when the driver's JVM collects the objects that stand for them.
         gc.collect()
         spark.sparkContext._jvm.System.gc()
