@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 # Codec codes and formats, split modes, filter codes.
-CODECS = {"blosclz": 0, "lz4": 1, "lz4hc": 2, "zlib": 4, "zstd": 5}
-FORMATS = {0: 0, 1: 1, 2: 1, 4: 3, 5: 4}
+CODECS = {"lz4": 1, "lz4hc": 2, "zlib": 4, "zstd": 5}
+FORMATS = {1: 1, 2: 1, 4: 3, 5: 4}
 SPLIT_MODES = {"always": 1, "never": 2, "auto": 3, "forward": 4}
 FILTERS = {"nofilter": 0, "none": 0, "shuffle": 1, "bitshuffle": 2, "delta": 3, "truncprec": 4, "trunc_prec": 4}
 
