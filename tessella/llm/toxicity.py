@@ -5,7 +5,9 @@ product is one deterministic machine, built once, that tells for each insult or
 A document's score is a logistic function of how many clauses matched each pattern, never of isolated words alone.
 
 The insult lexicon (whole words and word beginnings) and the pattern weights are learned from labelled rows: a bounded
-sample of at most TRAIN_POSITIVE toxic and TRAIN_NEGATIVE other rows, chosen by a hash of the id.
+sample of at most TRAIN_POSITIVE toxic and TRAIN_NEGATIVE other rows, chosen by a hash of the id.  In inflected languages
+one form of a stem may be innocent chance while several are not, so a word beginning is learned together with the number
+of different words (up to MOST_FORMS) that must begin so in a document before it counts.
 
 Cases: a null or empty text has no clause and gets the score of the intercept; repeated rows are scored alike; a null id
 counts as not held out; with no labelled rows at all, only the built-in threat pattern can raise a score.
@@ -30,7 +32,9 @@ from tessella.llm._common import id_and_text, map_batches, pinned
 
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 3000, 5000
 THRESHOLD = 0.3
-PREFIX_LENGTHS = (4, 5, 6)
+PREFIX_LENGTHS = (4, 5, 6, 7, 8)
+#: Most different words with one beginning that an entry of the lexicon can ask for.
+MOST_FORMS = 3
 #: Telling features that are looked at, those with most toxic rows first.
 MOST_STRONG = 3000
 #: Size of the lexicon beyond which no further feature is added.
@@ -82,14 +86,17 @@ _MOVES, _EMITS = compose()
 @dataclass
 class ToxicityModel:
     words: dict[str, float] = field(default_factory=dict)
-    prefixes: dict[str, float] = field(default_factory=dict)
+    #: Word beginning -> strength from each number of forms on.
+    prefixes: dict[str, dict[int, float]] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: [0.0] * len(PATTERNS))
     bias: float = -3.0
 
-    def strength(self, word: str) -> float:
-        if (w := self.words.get(word)) is not None:
-            return w
-        return max((self.prefixes.get(word[:n], 0.0) for n in PREFIX_LENGTHS if len(word) >= n), default=0.0)
+    def strengths(self, words: set[str]) -> dict[str, float]:
+        """Strength of each insult among the different words of a document."""
+        forms = Counter(w[:n] for w in words for n in PREFIX_LENGTHS if len(w) >= n and w[:n] in self.prefixes)
+        active = {p: max((s for least, s in self.prefixes[p].items() if n >= least), default=0.0) for p, n in forms.items()}
+        found = {w: self.words[w] if w in self.words else max((active.get(w[:n], 0.0) for n in PREFIX_LENGTHS), default=0.0) for w in words}
+        return {w: s for w, s in found.items() if s}
 
     def needles(self) -> list[str]:
         return [*self.words, *self.prefixes, *THREAT]
@@ -99,12 +106,14 @@ class ToxicityModel:
         low = text.lower()
         if not any(x in low for x in self.needles()):
             return [0.0] * len(PATTERNS)
+        clauses = [_WORD.findall(clause) for clause in _CLAUSE.split(low)]
+        strength = self.strengths({w for clause in clauses for w in clause})
         total = [0.0] * len(PATTERNS)
-        for clause in _CLAUSE.split(low):
+        for clause in clauses:
             state, best = 0, [0.0] * len(PATTERNS)
             aimed_later = False
-            for word in _WORD.findall(clause):
-                s = self.strength(word)
+            for word in clause:
+                s = strength.get(word, 0.0)
                 c = INSULT if s else HARM if word in THREAT else AIMED if word in TARGET else NEGATE if word in NEGATION else QUOTE if word in REPORT else OTHER
                 if (k := _EMITS[state][c]) >= 0:
                     best[k] = max(best[k], s or 1.0)
@@ -121,8 +130,10 @@ class ToxicityModel:
 
 
 def _features(text: str) -> set[str]:
+    """The words of a text, and its word beginnings with one star for each form up to MOST_FORMS."""
     words = {w for w in (w.strip(_EDGES) for w in text.lower().split()) if w.isalpha()}
-    return words | {f"{w[:n]}*" for w in words for n in PREFIX_LENGTHS if len(w) >= n}
+    forms = Counter(w[:n] for w in words for n in PREFIX_LENGTHS if len(w) >= n)
+    return words | {p + "*" * k for p, n in forms.items() for k in range(1, min(n, MOST_FORMS) + 1)}
 
 
 def count_features(samples: list[tuple[int, str]]) -> dict[str, tuple[int, int]]:
@@ -143,8 +154,9 @@ def is_strong(hits: int, against: int, toxic: int, clean: int) -> bool:
     return hits >= floor_of(toxic) and hits * ratio**0.5 >= 25 * (against + 0.2)
 
 
-def learn_lexicon(texts: list[str], counts: dict[str, tuple[int, int]], clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Sequential covering of the toxic texts: the feature that marks most of those not marked yet comes next.
+def learn_lexicon(texts: list[str], counts: dict[str, tuple[int, int]], clean: int) -> tuple[dict[str, float], dict[str, dict[int, float]]]:
+    """Sequential covering of the toxic texts: the feature that marks most of those not marked yet, less the other rows
+    that it marks, comes next.
 
     counts: the strong features, with the toxic and other rows that have them.
     """
@@ -159,32 +171,38 @@ def learn_lexicon(texts: list[str], counts: dict[str, tuple[int, int]], clean: i
 
     def as_word(x: str) -> str:
         """The one word that nearly all rows with a word beginning have, if there is one."""
-        same = [w for w in strong if x[-1] == "*" and w[-1] != "*" and w.startswith(x[:-1]) and len(have[w]) >= 0.9 * len(have[x])]
+        same = [w for w in strong if x[-1] == "*" and w[-1] != "*" and w.startswith(x.rstrip("*")) and len(have[w]) >= 0.9 * len(have[x])]
         return max(same, key=lambda w: (len(have[w]), w), default=x)
 
     def weight(x: str) -> float:
         return math.log((len(have[x]) + 0.5) * ratio / (against[x] + 0.5)) / 4
 
     left, chosen = set(range(len(texts))), {}
-    queue = [(-len(s), against[x], len(x), x) for x, s in strong.items()]
+    queue = [(against[x] - len(s), against[x], -len(x), x) for x, s in strong.items()]
     heapq.heapify(queue)
     while queue:  # gains only shrink, so a stale head is put back with its present gain
         old, hits, size, x = heapq.heappop(queue)
         gain = strong[x] & left
-        if len(gain) < -old:
-            if len(gain) >= floor:
-                heapq.heappush(queue, (-len(gain), hits, size, x))
+        if hits - len(gain) > old:
+            if len(gain) - hits >= floor:
+                heapq.heappush(queue, (hits - len(gain), hits, size, x))
             continue
+        if len(gain) - hits < floor:
+            break
         left -= gain
         x = as_word(x)
         chosen[x] = weight(x)
     # Features as telling as the chosen ones that mostly occur beside them complete the lexicon.
     everywhere = max((len(have[x]) for x in chosen), default=0)
     for x in sorted(strong, key=lambda x: (len(x), x)):
-        known = any(x.startswith(c[:-1]) if c[-1] == "*" else x.rstrip("*") and c.startswith(x.rstrip("*")) and x[-1] == "*" for c in chosen)
+        known = any(x.startswith(c.rstrip("*")) or c.startswith(x.rstrip("*")) if c[-1] == "*" and x[-1] == "*" else x.startswith(c.rstrip("*")) if c[-1] == "*" else x.rstrip("*") and c.startswith(x.rstrip("*")) and x[-1] == "*" for c in chosen)
         if not known and not against[x] and len(have[x]) >= max(2 * floor, everywhere // 8) and as_word(x) == x and len(chosen) < MOST_ENTRIES:
             chosen[x] = weight(x)
-    return {x: w for x, w in chosen.items() if x[-1] != "*"}, {x[:-1]: w for x, w in chosen.items() if x[-1] == "*"}
+    prefixes: dict[str, dict[int, float]] = defaultdict(dict)
+    for x, w in chosen.items():
+        if x[-1] == "*":
+            prefixes[x.rstrip("*")][x.count("*")] = w
+    return {x: w for x, w in chosen.items() if x[-1] != "*"}, dict(prefixes)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:

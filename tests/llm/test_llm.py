@@ -354,6 +354,25 @@ def test_toxicity_learns_words_and_beginnings():
     assert 0 <= model.score("") <= 1 and model.score("") < toxicity.THRESHOLD
 
 
+def test_inflected_stems_count_from_several_forms():
+    r = random.Random(6)
+    ends = ["em", "est", "ung", "er", "keit", "lich"]
+    word = lambda: "".join(r.choice(["an", "er", "the", "ing", "ou", "sh"]) for _ in range(r.randint(2, 4)))
+
+    def sample(n):
+        out = []
+        for i in range(n):
+            words = [word() for _ in range(r.randint(20, 60))]
+            some = r.sample(ends, 3 if i % 8 == 0 else i % 8 == 1)  # one form alone is innocent
+            for e in some * (1 if i % 8 == 0 else 4):
+                words.insert(r.randrange(len(words)), "gromp" + e)
+            out.append((int(i % 8 == 0), " ".join(words) + "."))
+        return out
+
+    model = toxicity.fit(sample(1600))
+    assert np.mean([(model.score(t) >= toxicity.THRESHOLD) == bool(y) for y, t in sample(400)]) > 0.98
+
+
 def test_held_out_rows(spark, odd):
     got = {r.doc_id: r.h for r in odd.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(h == (d is not None and toxicity.crc_remainder(d) == 2) for d, h in got.items())
