@@ -81,6 +81,11 @@ def automatic_blocksize(codec: Column, level: Column, mode: Column, typesize: Co
     return F.when(nbytes < typesize, F.lit(1).cast("long")).otherwise(F.when(chosen > typesize, div(chosen, typesize) * typesize).otherwise(chosen))
 
 
+def zstd_level(level: Column) -> Column:
+    """The library's level for a level 0..9; 0 becomes its fast level -1."""
+    return F.when(level < 9, 2 * level - 1).otherwise(22)
+
+
 def stream_count(split: Column, leftover: Column, typesize: Column) -> Column:
     """Streams of a block; the short last block is never split."""
     return F.when(split & ~leftover, typesize).otherwise(1)

@@ -1,7 +1,7 @@
 """Reversible block transforms as relations of (pos, bits): positions, blocks and bytes are rows, Catalyst plans the rest.
 
 Input columns are pos (dense from 0) and bits (a 64-bit word as long).  Nulls are not part of a word sequence: filter or
-fill them first.  Everything is partitioned by block or chunk; no window spans the whole table.
+fill them first.  Windows are partitioned by chunk; a block's size follows from the number of items, a scalar subquery over pos.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from tessella.functions import byte_of, div
 def gridded(words: DataFrame, chunk: int, block: int) -> DataFrame:
     """words with chunk_id, block_id (over all blocks), its first position and the number of items in the block."""
     b = div(F.col("pos"), block)
-    size = F.count("*").over(Window.partitionBy("block_id"))
+    total = words.agg(F.max("pos") + 1).scalar()
+    size = F.least(F.lit(block).cast("long"), total - F.col("block_id") * block)
     return words.withColumn("chunk_id", div(F.col("pos"), chunk)).withColumn("block_id", b).withColumn("item", F.col("pos") % block).withColumn("n", size)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEADER = "nbytes long, typesize int, blocksize long, nblocks long, leftover long"
+#: Item types of a chunk, by their SQL names.
+ITEMS = {"tinyint": "<i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}
 
 
 def pack(codec: str, level: int, data: bytes) -> bytes:
@@ -52,9 +54,14 @@ def xor_delta(data: bytes, width: int, back: bool = False) -> bytes:
     return y.tobytes() + data[n * width :]
 
 
-def encode(values: DataFrame, size: int, codec: str = "zstd", level: int = 5, delta: bool = False, pos: str = "pos", value: str = "value") -> DataFrame:
-    """(pos, value double) -> (chunk_id, n, codec, packed): items sorted by pos within each chunk of `size`."""
-    grouped = values.groupBy(F.floor(F.col(pos) / size).cast("long").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("rows"))
+def encode(values: DataFrame, size: int, codec: str = "zstd", level: int = 5, delta: bool = False, pos: str = "pos", value: str = "value", item: str = "double") -> DataFrame:
+    """(pos, value) -> (chunk_id, n, codec, delta, packed): items sorted by pos within each chunk of `size`.
+
+    item: the SQL type of the items, one of ITEMS; values are not null.
+    """
+    kind = np.dtype(ITEMS[item])
+    width = kind.itemsize
+    grouped = values.groupBy(F.floor(F.col(pos) / size).cast("long").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast(item).alias("v")))).alias("rows"))
     ready = grouped.select("chunk_id", F.size("rows").alias("n"), F.col("rows.v").alias("values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,26 +69,28 @@ def encode(values: DataFrame, size: int, codec: str = "zstd", level: int = 5, de
             column = batch.column("values")
             packed = []
             for i in range(batch.num_rows):
-                raw = column[i].values.to_numpy(zero_copy_only=False).astype("<f8").tobytes()
-                packed.append(pack(codec, level, transpose(xor_delta(raw, 8) if delta else raw, 8)))
+                raw = column[i].values.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+                packed.append(pack(codec, level, transpose(xor_delta(raw, width) if delta else raw, width)))
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), batch.column("n"), pa.array([codec] * len(packed)), pa.array([delta] * len(packed), pa.bool_()), pa.array(packed, pa.binary())], names=["chunk_id", "n", "codec", "delta", "packed"])
 
     return ready.mapInArrow(run, "chunk_id long, n int, codec string, delta boolean, packed binary")
 
 
-def decode(chunks: DataFrame, size: int, first: int | None = None, count: int | None = None) -> DataFrame:
-    """(pos, value); with first and count only the chunks that the item range meets are decoded."""
+def decode(chunks: DataFrame, size: int, first: int | None = None, count: int | None = None, item: str = "double") -> DataFrame:
+    """(pos, value) of chunks of the item type they were encoded with; with first and count only the chunks that the item range meets are decoded."""
+    kind = np.dtype(ITEMS[item])
+    width = kind.itemsize
     if first is not None:
         chunks = chunks.where((F.col("chunk_id") >= first // size) & (F.col("chunk_id") <= (first + count - 1) // size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                raw = transpose(unpack(row["codec"], row["packed"], 8 * row["n"]), 8, back=True)
-                x = np.frombuffer(xor_delta(raw, 8, back=True) if row["delta"] else raw, "<f8")
+                raw = transpose(unpack(row["codec"], row["packed"], width * row["n"]), width, back=True)
+                x = np.frombuffer(xor_delta(raw, width, back=True) if row["delta"] else raw, kind)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)) + row["chunk_id"] * size, pa.int64()), pa.array(x)], names=["pos", "value"])
 
-    out = chunks.mapInArrow(run, "pos long, value double")
+    out = chunks.mapInArrow(run, f"pos long, value {item}")
     return out if first is None else out.where((F.col("pos") >= first) & (F.col("pos") < first + count))
 
 

@@ -1,7 +1,7 @@
 """Container algebra on (chunk_id, pos, value) rows: chunk ids are dense from 0, pos counts within the chunk.
 
 Every change is a projection, filter, union or join; nothing is rewritten that the change does not touch once the table is
-partitioned by chunk_id.  Prefix sums run over one row per chunk, never over items.
+partitioned by chunk_id.  Prefix sums run over one row per chunk, never over items, in groups of OFFSET_GROUP chunks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Chunks whose offsets one task sums up; the sums of whole groups, one row each, are broadcast.
+OFFSET_GROUP = 65_536
+
 
 def chunks_of(rows: DataFrame, size: int, pos: str = "pos", value: str = "value") -> DataFrame:
     return rows.select(F.floor(F.col(pos) / size).cast("long").alias("chunk_id"), (F.col(pos) % size).alias("pos"), F.col(value).alias("value"))
@@ -16,8 +19,8 @@ def chunks_of(rows: DataFrame, size: int, pos: str = "pos", value: str = "value"
 
 def append(rows: DataFrame, more: DataFrame) -> DataFrame:
     """more's chunks behind those of rows."""
-    base = rows.agg((F.coalesce(F.max("chunk_id"), F.lit(-1)) + 1).alias("base"))
-    return rows.unionByName(more.join(F.broadcast(base)).select((F.col("chunk_id") + F.col("base")).alias("chunk_id"), "pos", "value"))
+    base = rows.agg(F.coalesce(F.max("chunk_id"), F.lit(-1)) + 1).scalar()
+    return rows.unionByName(more.select((F.col("chunk_id") + base).alias("chunk_id"), "pos", "value"))
 
 
 def insert(rows: DataFrame, at: int, chunk: DataFrame) -> DataFrame:
@@ -47,8 +50,11 @@ def set_slice(rows: DataFrame, patch: DataFrame) -> DataFrame:
 
 def offsets(sizes: DataFrame) -> DataFrame:
     """(chunk_id, nbytes) -> with the sum of the sizes before each chunk."""
-    before = Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("chunk_id", "nbytes", F.coalesce(F.sum("nbytes").over(before), F.lit(0)).cast("long").alias("start"))
+    rows = sizes.select("chunk_id", "nbytes", F.floor(F.col("chunk_id") / OFFSET_GROUP).cast("long").alias("g"))
+    before = lambda w: F.coalesce(F.sum("nbytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("g").agg(F.sum("nbytes").alias("nbytes")).select("g", before(Window.orderBy("g")).alias("base"))
+    inner = rows.withColumn("at", before(Window.partitionBy("g").orderBy("chunk_id")))
+    return inner.join(F.broadcast(groups), "g").select("chunk_id", "nbytes", (F.col("base") + F.col("at")).cast("long").alias("start"))
 
 
 def chunk_range(sizes: DataFrame, start: int, length: int) -> DataFrame:
@@ -63,7 +69,7 @@ def chunk_range(sizes: DataFrame, start: int, length: int) -> DataFrame:
 
 def totals(sizes: DataFrame) -> DataFrame:
     """Chunks, bytes, and whether the chunks differ in size (the last one may be short)."""
-    last = F.max("chunk_id").over(Window.partitionBy())
+    last = sizes.agg(F.max("chunk_id")).scalar()
     rows = sizes.withColumn("last", last)
     return rows.agg(F.count("*").alias("nchunks"), F.sum("nbytes").alias("nbytes"), (F.count_distinct(F.when(F.col("chunk_id") < F.col("last"), F.col("nbytes"))) > 1).alias("variable"))
 

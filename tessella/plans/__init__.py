@@ -110,6 +110,12 @@ def pipeline_roundtrip(spark, sf_dir):
     return _values(blocks.delta_decoded(back, CHUNK, BLOCK))
 
 
+@query(f"WITH {_W} SELECT w.block_id, j * n.n + item AS out_pos, ((bits & {fn.truncation_mask(20, 52)}) >> (8 * j)) & 255 AS v FROM w JOIN n USING (block_id), range(8) t(j)")
+def pipeline_trunc_shuffle(spark, sf_dir):
+    cut = _words(spark, sf_dir).withColumn("bits", F.col("bits").bitwiseAND(fn.truncation_mask(20, 52)))
+    return blocks.shuffled(cut, BLOCK)
+
+
 def _truncated(spark, sf_dir, prec: int) -> DataFrame:
     return _values(_words(spark, sf_dir).select("pos", F.col("bits").bitwiseAND(fn.truncation_mask(prec, 52)).alias("bits")))
 
@@ -218,6 +224,34 @@ for _codec in ("zlib", "zstd", "lz4", "lz4hc"):
 _roundtrip("zstd", 9, delta=True)
 
 
+def _typed_roundtrip(item: str, sql: str, width: str):
+    """Items of other widths: user ids cut to the type's range, through delta and byte transpose."""
+
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.expr(sql).alias("value"))
+        return chunks.decode(chunks.encode(rows, CHUNK, "zstd", 5, True, item=item), CHUNK, item=item).withColumn("value", F.col("value").cast(width))
+
+    run.__name__ = f"roundtrip_{item}"
+    return query(f"SELECT event_id AS pos, CAST({sql} AS {width}) AS value FROM events")(run)
+
+
+_typed_roundtrip("tinyint", "user_id % 128", "bigint")
+_typed_roundtrip("smallint", "user_id % 32768", "bigint")
+_typed_roundtrip("int", "user_id % 2147483648", "bigint")
+_typed_roundtrip("bigint", "user_id * 1000003", "bigint")
+
+
+@query("SELECT vec_id * 64 + i AS pos, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(i)")
+def roundtrip_float(spark, sf_dir):
+    rows = _cells(spark, sf_dir).select((F.col("i0") * 64 + F.col("i1")).alias("pos"), "value")
+    return chunks.decode(chunks.encode(rows, 4096, "lz4", 5, item="float"), 4096, item="float").withColumn("value", F.col("value").cast("double"))
+
+
+@query("SELECT CAST(level AS BIGINT) AS level, CAST(CASE WHEN level < 9 THEN 2 * level - 1 ELSE 22 END AS BIGINT) AS zstd_level FROM range(10) t(level)")
+def zstd_level_map(spark, sf_dir):
+    return spark.range(10).select(F.col("id").alias("level"), fn.zstd_level(F.col("id")).cast("long").alias("zstd_level"))
+
+
 @query(f"WITH c AS (SELECT event_id // {CHUNK} AS chunk_id, count(*) * 8 AS nbytes FROM events GROUP BY 1) SELECT chunk_id, nbytes, 8 AS typesize, CAST(2048 AS BIGINT) AS blocksize, (nbytes + 2047) // 2048 AS nblocks, nbytes - ((nbytes + 2047) // 2048 - 1) * 2048 AS leftover FROM c")
 def header_fields(spark, sf_dir):
     return chunks.headers(_events(spark, sf_dir), CHUNK, 2048)
@@ -247,6 +281,22 @@ def vl_roundtrip_documents(spark, sf_dir):
     return varlen.unpacked(_doc_chunks(spark, sf_dir)).select("block_id", F.decode("data", "UTF-8").alias("text"))
 
 
+@query("SELECT doc_id AS block_id, coalesce(text, '') AS text FROM documents")
+def vl_compress_documents(spark, sf_dir):
+    return varlen.decompressed(varlen.compressed(_doc_chunks(spark, sf_dir), "zlib")).select("block_id", F.decode("data", "UTF-8").alias("text"))
+
+
+@query("SELECT doc_id AS block_id, text FROM documents WHERE doc_id = 77")
+def vl_decompress_block(spark, sf_dir):
+    return varlen.decompressed(varlen.compressed(_doc_chunks(spark, sf_dir), "lz4"), 77, 32).select("block_id", F.decode("data", "UTF-8").alias("text"))
+
+
+@query("SELECT page_id AS block_id, coalesce(html, '') AS html FROM pages")
+def roundtrip_dict_zstd(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("block_id"), F.encode("html", "UTF-8").alias("data"))
+    return varlen.decompressed(varlen.compressed(varlen.packed(pages, 32), dictionary=True)).select("block_id", F.decode("data", "UTF-8").alias("html"))
+
+
 @query("SELECT doc_id // 32 AS chunk_id, count(*) AS n_blocks FROM documents GROUP BY 1")
 def vl_block_count(spark, sf_dir):
     return _doc_chunks(spark, sf_dir).select("chunk_id", F.size("blocks").cast("long").alias("n_blocks"))
@@ -394,6 +444,13 @@ def nd_roundtrip(spark, sf_dir):
     return ndarray.dense(_cells(spark, sf_dir), list(_SHAPE)).withColumn("value", F.col("value").cast("double"))
 
 
+@query("SELECT (vec_id * 64 + i) // 1000 AS row, (vec_id * 64 + i) % 1000 AS place, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, range(64) t(i)")
+def nd_unravel(spark, sf_dir):
+    flat = ndarray.dense(_cells(spark, sf_dir), list(_SHAPE))
+    row, place = fn.unravel(F.col("position"), [1 << 40, 1000])
+    return flat.select(row.alias("row"), place.alias("place"), F.col("value").cast("double").alias("value"))
+
+
 # --- storage and streams ---------------------------------------------------------------------------------------------
 
 
@@ -407,6 +464,16 @@ def lazy_slice(spark, sf_dir):
     return chunks.decode(read_chunks(spark, path, 200 // 128, 2499 // 128), 128, 200, 2300)
 
 
+@query("SELECT event_id // 128 AS chunk_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def lazy_chunk_refs(spark, sf_dir):
+    from tessella.sources.chunk_tables import chunk_refs, write_chunks
+    from tessella.storage import shared_folder
+
+    path = shared_folder(spark)
+    write_chunks(chunks.encode(_events(spark, sf_dir), 128), path)
+    return chunk_refs(spark, path).withColumn("n", F.col("n").cast("long"))
+
+
 @query(f"WITH {_E} SELECT chunk_id, pos, value FROM e")
 def stream_append(spark, sf_dir):
     from tessella.storage import shared_folder

@@ -79,6 +79,34 @@ def test_chunk_roundtrip_keeps_bits(spark, codec, delta):
     assert np.array([r.value for r in back]).tobytes() == np.array(x).tobytes()
 
 
+@pytest.mark.parametrize("item", sorted(chunks.ITEMS))
+def test_chunk_roundtrip_of_item_types(spark, item):
+    x = [0, 1, -1, 127, -128, 5] * 7
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "pos long, value long")
+    back = chunks.decode(chunks.encode(rows, 16, "zstd", 5, True, item=item), 16, item=item)
+    assert back.schema["value"].dataType.simpleString() == item
+    assert [r.value for r in back.orderBy("pos").collect()] == x
+
+
+@pytest.mark.parametrize("codec", ["zlib", "zstd", "lz4"])
+def test_compressed_blocks(spark, codec):
+    data = [b"", b"a", b"red " * 50] + [f"line {i} of a long list of lines which are alike; ".encode() * 9 for i in range(60)]
+    packed = varlen.packed(spark.createDataFrame([*enumerate(data), (len(data), None)], "block_id long, data binary"), 64)
+    for trained in {False, codec == "zstd"}:
+        done = varlen.compressed(packed, codec, dictionary=trained)
+        assert any(r.dictionary for r in done.collect()) == trained
+        assert [bytes(r.data) for r in varlen.decompressed(done).orderBy("block_id").collect()] == [*data, b""]
+        assert bytes(varlen.decompressed(done, 7, 64).first().data) == data[7]
+    with pytest.raises(ValueError):
+        varlen.compressed(packed, "lz4", dictionary=True)
+
+
+def test_offsets_over_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(container, "OFFSET_GROUP", 3)
+    sizes = spark.range(10).select(F.col("id").alias("chunk_id"), (F.col("id") + 1).alias("nbytes"))
+    assert [r.start for r in container.offsets(sizes).orderBy("chunk_id").collect()] == [i * (i + 1) // 2 for i in range(10)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "pos long, value double")
     assert chunks.decode(chunks.encode(none, 16), 16).count() == 0
