@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tessella.llm import byte_bpe, decontaminate, pii, simhash, toxicity
+from tessella.llm import byte_bpe, decontaminate, near_copies, pii, simhash, toxicity
 
 
 def brute(rows, items, labels):
@@ -69,3 +69,39 @@ def test_all_but_the_last_stage_keep_the_columns(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_near_duplicate_stage_matches_all_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(r.randint(1, 90)))) for i in range(60)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(100 + i, f"{passage} {t}") for i, t in rows[:20]]
+    for i in range(150):  # copies of copies with one word more, less or different
+        words = r.choice(rows)[1].split()
+        at = r.randrange(len(words))
+        words[at : at + r.randint(0, 1)] = [f"new{i}"] * r.randint(0, 1)
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(2000 + i, f"{passage} {i}") for i in range(40)] + [(3000, None), (3001, ""), (None, rows[5][1]), (4, rows[4][1])]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    low = {}
+    for (d, _), g in zip(rows, group, strict=True):
+        low[g] = min(x for x in (low.get(g), d) if x is not None) if d is not None or g in low else None
+    gone = {d for (d, _), g in zip(rows, group, strict=True) if d is not None and d != low[g]}
+    assert sum(1000 <= d < 1150 for d in gone) > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (1024, 7):
+        monkeypatch.setattr(near_copies, "CELL", cell)
+        left = sorted((d.doc_id is None, d.doc_id or 0, d.text or "") for d in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+        assert left == sorted((d is None, d or 0, t or "") for d, t in rows if d not in gone)
