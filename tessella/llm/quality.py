@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are risk-controlled.
 
-Each rule rejects a document whose feature exceeds a cutoff.  Per stratum (language) and rule, cutoffs are tried from the
-mildest to the strictest on the labelled good rows; a cutoff holds while the exact (Clopper-Pearson) upper bound of the
-share of good rows it rejects stays within the rule's part of RISK.  Trying in this fixed order needs no correction;
-across strata and rules the error LEVEL is divided (Bonferroni).  So with probability 1 - LEVEL no stratum loses more
-than RISK of its good documents to these rules.  A stratum with too few labelled rows to show that gets no rule.
+Each rule rejects a document whose feature exceeds a cutoff.  The cutoffs of all rules are tried jointly, as one nested
+ladder: each rung lowers some of them, so what a rung rejects, all later ones reject.  The ladder is laid on the rows that
+are not labelled good: next comes the rule and cutoff with the largest share of rows labelled poor among what it adds;
+after these all rules come down together.  Each stratum (language) walks the ladder on its labelled good rows, from the
+mildest rung on, as long as the exact (Clopper-Pearson) upper bound of the share of good rows rejected stays within RISK.
+Trying in an order fixed without these rows needs no correction; across strata the error LEVEL is divided (Bonferroni).
+So with probability 1 - LEVEL no stratum loses more than RISK of its good documents to these rules.  A stratum gets no
+rule if even no rejected row does not show that: below ln(LEVEL / strata) / ln(1 - RISK) good rows, 217 with four strata.
 
-All labelled rows are used; only their counts by stratum, rule and cutoff reach the driver.
+All labelled rows are used; only counts by rule and cutoff, and by stratum and rung, reach the driver.
 
 Cases: a null or empty text has no words and fails the base rule; a null stratum counts as one of its own; repeated rows
 come back repeated, and labels that occur more than once for an id count once (the lowest); without labels there are no
@@ -112,7 +115,10 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def cutoffs(counts: dict[tuple[str, str], list[int]], risk: float = RISK, level: float = LEVEL) -> dict[tuple[str, str], float]:
-    """counts: good rows by step of the feature, for each (stratum, rule) -> the strictest cutoff that is safe."""
+    """counts: good rows by step of the feature, for each (stratum, rule) -> the strictest cutoff that is safe.
+
+    Each rule is tried alone, within its part of the risk; verdicts() walks ladder() instead, which needs fewer rows.
+    """
     each, part = level / max(1, len(counts)), risk / len(RULES)
     found = {}
     for key, steps in counts.items():
@@ -125,21 +131,72 @@ def cutoffs(counts: dict[tuple[str, str], list[int]], risk: float = RISK, level:
     return found
 
 
+def ladder(poor: dict[str, list[int]], others: dict[str, list[int]]) -> dict[str, list[int]]:
+    """From rows labelled poor and unlabelled ones by step, for each rule: for each step the first rung that rejects it.
+
+    Rungs count from 1; step 0 is never rejected and has a rung beyond all.
+    """
+    now = dict.fromkeys(RULES, STEPS + 1)
+    first: dict[str, list[int]] = {r: [0] * (STEPS + 1) for r in RULES}
+    rung = 0
+    while True:
+        best = (0.0, 0, "", 0)
+        for rule in RULES:
+            gain = cost = 0
+            for s in range(now[rule] - 1, 0, -1):
+                gain, cost = gain + poor[rule][s], cost + others[rule][s]
+                if poor[rule][s]:
+                    best = max(best, (gain / (gain + cost + 1), gain, rule, s))
+        if not best[1]:
+            break
+        _, _, rule, low = best
+        for s in range(now[rule] - 1, low - 1, -1):
+            rung += 1
+            first[rule][s] = rung
+        now[rule] = low
+    for s in range(STEPS, 0, -1):
+        rung += 1
+        for rule in RULES:
+            if s < now[rule]:
+                first[rule][s] = rung
+    for rule in RULES:
+        first[rule][0] = rung + 1
+    return first
+
+
+def walk(counts: dict[str, dict[int, int]], risk: float = RISK, level: float = LEVEL) -> dict[str, int]:
+    """counts: good rows by the first rung that rejects them, for each stratum -> the last rung that is safe."""
+    each = math.log(level / max(1, len(counts)))
+    found = {}
+    for key, rungs in counts.items():
+        n, over = sum(rungs.values()), 0
+        safe = lambda k, n=n: k < n * risk and _log_tail(k, n, risk) <= each  # noqa: E731  the bound of k of n is within the risk
+        if not safe(0):
+            continue
+        for rung in sorted(rungs):
+            over += rungs[rung]
+            if not safe(over):
+                found[key] = rung - 1
+                break
+    return found
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, stratum_col: str = "lang") -> DataFrame:
     """doc_id, the measures, base_failed and kept of every row."""
     seen = pinned(measured(docs, stratum_col=stratum_col))
-    step = lambda c: F.floor(c * STEPS).cast("int")
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(c).alias("step")) for r, c in _shares().items()]))
-    table = seen.where(~base_failed()).join(good, "doc_id", "left_semi").select("stratum", rules.alias("r")).groupBy("stratum", "r.rule", "r.step").count()
-    counts: dict[tuple[str, str], list[int]] = {}
-    for r in table.collect():  # strata x rules x steps rows, however many documents
-        counts.setdefault((r["stratum"], r["rule"]), [0] * (STEPS + 1))[r["step"]] = r["count"]
-    limits = cutoffs(counts, risk, level)
-    rejected = F.lit(False)
-    for rule, share in _shares().items():
-        per = [x for (s, r), c in limits.items() if r == rule for x in (F.lit(s), F.lit(c))]
-        if per:
-            rejected = rejected | F.coalesce(step(share) >= F.create_map(*per)[F.col("stratum")], F.lit(False))
+    shares = {r: F.floor(c * STEPS).cast("int") for r, c in _shares().items()}
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
+    rows = seen.where(~base_failed()).join(known, "doc_id", "left")
+    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), c.alias("step")) for r, c in shares.items()]))
+    poor, others = ({r: [0] * (STEPS + 1) for r in RULES} for _ in range(2))
+    for r in rows.where("q is null or q <> 1").select((F.coalesce("q", F.lit(1)) == 0).alias("poor"), rules.alias("r")).groupBy("poor", "r.rule", "r.step").count().collect():
+        (poor if r["poor"] else others)[r["rule"]][r["step"]] = r["count"]
+    first = ladder(poor, others)
+    rung = F.least(*[F.element_at(F.array(*map(F.lit, first[r])), c + 1) for r, c in shares.items()])
+    counts: dict[str, dict[int, int]] = {}
+    for r in rows.where("q = 1").groupBy("stratum", rung.alias("rung")).count().collect():  # strata x rungs rows, however many documents
+        counts.setdefault(r["stratum"], {})[r["rung"]] = r["count"]
+    last = [x for s, k in walk(counts, risk, level).items() for x in (F.lit(s), F.lit(k))]
+    rejected = F.coalesce(rung <= F.create_map(*last)[F.col("stratum")], F.lit(False)) if last else F.lit(False)
     failed = base_failed()
     return seen.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))

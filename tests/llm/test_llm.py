@@ -206,6 +206,52 @@ def test_quality_keeps_clean_rows(spark):
     assert all(got.values())
 
 
+def test_ladder_holds_its_risk():
+    assert quality.walk({"a": {3: 0, 900: 217}, "b": {900: 216}, "c": {900: 217}, "d": {900: 217}}).keys() == {"a", "c", "d"}
+    rng = np.random.default_rng(6)
+    zeros = {r: [0] * (quality.STEPS + 1) for r in quality.RULES}
+    first = quality.ladder(zeros, zeros)
+    never = first["caps_share"][0]
+    broken = 0
+    for _ in range(200):
+        steps = np.clip((rng.exponential(0.05, (600, len(quality.RULES))) * quality.STEPS).astype(int), 0, quality.STEPS)
+        rungs = np.min([np.array(first[r])[steps[:, j]] for j, r in enumerate(quality.RULES)], axis=0)
+        last = quality.walk({"en": collections.Counter(rungs.tolist())})["en"]
+        cut = min(s for s in range(1, quality.STEPS + 1) if first["caps_share"][s] <= last) / quality.STEPS
+        broken += 1 - (1 - np.exp(-cut / 0.05)) ** len(quality.RULES) > quality.RISK
+        assert last < never
+    assert broken <= 200 * quality.LEVEL * 2
+
+
+def test_ladder_starts_where_poor_rows_are():
+    poor, others = ({r: [0] * (quality.STEPS + 1) for r in quality.RULES} for _ in range(2))
+    poor["symbol_share"][20] = 30
+    others["dup_line_share"][60] = others["symbol_share"][0] = 100
+    first = quality.ladder(poor, others)
+    assert first["symbol_share"][20] < first["dup_line_share"][60] < first["dup_line_share"][0]
+    for steps in first.values():  # nested
+        assert steps[1:] == sorted(steps[1:], reverse=True) and min(steps) > 0
+
+
+def test_junk_of_each_language_is_rejected(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for k, lang in enumerate(("en", "de", "es", "fr", None)):
+        clean = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(80))
+        for i in range(260):
+            rows.append((1000 * k + i, clean() + "\nsame\nsame" * (i % 50 == 0), lang))
+            labels.append((1000 * k + i, 1))
+        for i in range(20):  # half of the junk has a label
+            rows.append((1000 * k + 500 + i, clean() + " ##" * 30, lang))
+            labels += [(1000 * k + 500 + i, 0)] * (i < 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert not any(got[1000 * k + 500 + i].kept for k in range(5) for i in range(20))
+    for k in range(5):
+        assert sum(not got[1000 * k + i].kept for i in range(260)) <= 260 * quality.RISK
+
+
 # --- 6 SimHash -------------------------------------------------------------------------------------------------------
 
 
