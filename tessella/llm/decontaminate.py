@@ -18,9 +18,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessella.llm._common import id_and_text, map_batches
 
@@ -208,30 +210,60 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _cut(batch: pa.RecordBatch, text_col: str, every: list[list[tuple[int, int]]], most_share: float) -> pa.RecordBatch:
+    """The batch with each row's spans cut out of its text, without rows whose spans cover more than most_share of their words."""
+    kept, texts = [], []
+    for t, spans in zip(batch.column(text_col).to_pylist(), every, strict=True):
+        if not spans:
+            kept.append(True)
+            texts.append(t)
+            continue
+        at = [m.span() for m in _ANY_CASE.finditer(t)]
+        kept.append(sum(e - s for s, e in spans) <= most_share * len(at))
+        cut, last = [], 0
+        for s, e in spans:
+            cut.append(t[last : at[s][0]].rstrip(" "))
+            last = at[e - 1][1]
+        cut.append(t[last:])
+        texts.append("".join(cut))
+    where = batch.schema.get_field_index(text_col)
+    return batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type)).filter(pa.array(kept, pa.bool_()))
+
+
+def _united(spans: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of both lists in order, touching or overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted([*spans, *more]):
+        if out and out[-1][1] >= s:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def remove_spans(docs: DataFrame, items: DataFrame, most_share: float = 0.5, window: int = WINDOW, shard_words: int = SHARD_WORDS, text_col: str = "text") -> DataFrame:
-    """docs with the hit spans cut out of the text; rows whose hits cover more than most_share of their words go."""
-    out = docs
-    for machine in automata(items, window, shard_words):
+    """docs with the hit spans cut out of the text; rows whose hits cover more than most_share of their words go.
+
+    Every automaton reads the whole text; the spans that earlier ones found travel in a column, and the last one cuts.
+    """
+    machines = automata(items, window, shard_words)
+    machine, out = next(machines), docs
+    found = "_spans_" + "_".join(docs.columns)  # no column of docs has this name
+    carried = StructType([*docs.schema.fields, StructField(found, BinaryType())])
+    while machine is not None:
+        after = next(machines, None)
         shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            kept, texts = [], []
-            for t in batch.column(text_col).to_pylist():
-                spans, _ = shared.value.match(words_of(t))
-                if not spans:
-                    kept.append(True)
-                    texts.append(t)
-                    continue
-                at = [m.span() for m in _ANY_CASE.finditer(t)]
-                kept.append(sum(e - s for s, e in spans) <= most_share * len(at))
-                cut, last = [], 0
-                for s, e in spans:
-                    cut.append(t[last : at[s][0]].rstrip(" "))
-                    last = at[e - 1][1]
-                cut.append(t[last:])
-                texts.append("".join(cut))
-            where = batch.schema.get_field_index(text_col)
-            return batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type)).filter(pa.array(kept, pa.bool_()))
-
-        out = map_batches(out, run, docs.schema)
+        def run(batch: pa.RecordBatch, shared=shared, last=after is None) -> pa.RecordBatch:
+            every = [shared.value.match(words_of(t))[0] for t in batch.column(text_col).to_pylist()]
+            if found in batch.schema.names:
+                before = [np.frombuffer(x, np.int64).reshape(-1, 2).tolist() for x in batch.column(found).to_pylist()]
+                every = [_united([(s, e) for s, e in b], more) for b, more in zip(before, every, strict=True)]
+                batch = batch.drop_columns([found])
+            if last:
+                return _cut(batch, text_col, every, most_share)
+            return batch.append_column(found, pa.array([np.array(x, np.int64).tobytes() for x in every], pa.binary()))
+
+        out = map_batches(out, run, docs.schema if after is None else carried)
+        machine = after
     return out

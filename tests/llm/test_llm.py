@@ -92,6 +92,21 @@ def test_spans_are_removed(spark):
 # --- 2 personal data -------------------------------------------------------------------------------------------------
 
 
+def test_sharded_removal_agrees_with_one(spark, odd):
+    r = random.Random(4)
+    word = lambda: r.choice("abcdefg")
+    base = [f"t{i}" for i in range(60)]
+    # Passages that overlap in a document and belong to items of different shards, and random ones.
+    items = [(i, " ".join(base[8 * i : 8 * i + 14])) for i in range(6)] + [(10 + i, " ".join(word() for _ in range(r.randint(1, 12)))) for i in range(12)]
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(100 + i, " ".join(["x"] * i + base[: 2 * i] + ["y"] * i)) for i in range(30)]
+    docs, items = docs_of(spark, rows).unionByName(odd), spark.createDataFrame(items, "item_id long, text string")
+    for share in (0.5, 1.0):
+        whole = sorted(map(str, decontaminate.remove_spans(docs, items, share, window=4).collect()))
+        for words in (15, 40):
+            assert sorted(map(str, decontaminate.remove_spans(docs, items, share, window=4, shard_words=words).collect())) == whole
+
+
 def brute_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
