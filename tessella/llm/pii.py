@@ -15,6 +15,7 @@ import hashlib
 import math
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -70,7 +71,12 @@ def base_spans(text: str) -> list[Span]:
 # Candidate generators: high recall, spans may overlap.
 _WRITTEN_MAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:\(at\)|\[at\]| at |@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]| dot |\.)\s?[A-Za-z0-9-]{2,24}){1,4}", re.I)
 _WRITTEN_IP = re.compile(r"(?<![\w.:])(?:[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\))\s?[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])")
-_DIGITS = re.compile(r"(?<![\w+])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){8,18}(?![\w])")
+#: A run of digit groups; each span of whole groups with 9 to 19 digits is a candidate.
+_DIGITS = re.compile(r"(?<![0-9])[0-9]+(?:[\x20()./-]{1,2}[0-9]+)*")
+_GROUP = re.compile(r"[0-9]+")
+FEWEST_DIGITS, MOST_PHONE, LEAST_CARD, MOST_DIGITS = 9, 13, 13, 19
+_PHONE_LAYOUT = re.compile(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}([-. ])[0-9]{3}\1[0-9]{4}|0[0-9]{2,4}[ /-][0-9]{5,8}|0[0-9](?:[ .][0-9]{2}){4}")
+_CARD_LAYOUT = re.compile(r"[0-9]{13,19}|[0-9]{4}([-./ ])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([- ])[0-9]{6}\2[0-9]{5}")
 _HINTS = {
     "email": re.compile(r"e-?mail|mail|contact|write|reach|correo|courriel|kontakt", re.I),
     "ip": re.compile(r"\bip\b|addr|host|server|login|from|client", re.I),
@@ -89,14 +95,32 @@ def candidates(text: str) -> list[Span]:
     if "[.]" in text or "(.)" in text or text.count(":") > 6:
         out += [("ip", *m.span()) for m in _WRITTEN_IP.finditer(text)]
     for m in _DIGITS.finditer(text):
-        n = len(_NOT_DIGIT.sub("", m.group()))
-        if 9 <= n <= 13:
-            out.append(("phone", *m.span()))
-        if n >= 13:
-            out.append(("card", *m.span()))
+        if m.end() - m.start() >= FEWEST_DIGITS:
+            out += _number_spans(text, m.start(), m.end())
     return out
 
 
+def _number_spans(text: str, start: int, end: int) -> Iterator[Span]:
+    """Phone and card candidates among the digit groups of a run: for each first group at most as many as MOST_DIGITS."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    beyond = text[end : end + 1]
+    last = len(groups) - (beyond.isalnum() or beyond == "_")  # a group that runs on into a word is none
+    for i, (a, _) in enumerate(groups):
+        if a and text[a - 1] == "(":
+            a -= 1
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_+"):
+            continue
+        n = 0
+        for x, b in groups[i:last]:
+            n += b - x
+            if n > MOST_DIGITS:
+                break
+            if FEWEST_DIGITS <= n <= MOST_PHONE:
+                yield "phone", a, b
+            if n >= LEAST_CARD:
+                yield "card", a, b
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a candidate."""
     kind, a, b = span
@@ -132,6 +156,14 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(re.search(r"(?:com|org|net|edu|io|de|fr|es|uk|info|example)$", s, re.I))),
         float(before[-1:].isspace() or not before),
         float(after[:1].isspace() or not after or after[:1] in ".,;"),
+        float(bool(_PHONE_LAYOUT.fullmatch(s))),
+        float(bool(_CARD_LAYOUT.fullmatch(s))),
+        float(s.count("(") - s.count(")")),
+        float(len({c for c in re.findall(r"(?<=[0-9])[^0-9]+(?=[0-9])", s)})),
+        float(groups[0] if groups else 0),
+        # Digits next to the span, with at most two characters between.
+        float(len(m.group(1)) if (m := re.search(r"([0-9]+)[\x20()./-]{1,2}$", before)) else 0),
+        float(len(m.group(1)) if (m := re.match(r"[\x20()./-]{1,2}([0-9]+)", after)) else 0),
     ]
 
 
@@ -228,8 +260,24 @@ def training_lines(seed: int, count: int = TRAINING_LINES) -> list[tuple[str, li
     def noise() -> str:
         return r.choice((f"{r.randint(1950, 2040)}-{d(2)}-{d(2)} {d(2)}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1950, 2040)} {d(2)}.{d(2)}", d(r.randint(9, 19)), f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(1)} {d(3)} {d(3)} {d(3)}", f"{d(2)}.{d(2)}.{d(4)}-{d(2)}.{d(2)}.{d(4)}", f"{d(5)}-{d(5)}-{d(5)}", f"{word()} at {word()} dot {word()}", f"the {word()} at {word()}. {word()}", " ".join(d(2) for _ in range(6))))
 
+    def beside() -> tuple[str, list[Span]]:
+        """Two to four numbers side by side, with the true spans."""
+        value, true = "", []
+        for k in r.choices(("phone", "card", "noise"), (5, 2, 3), k=r.randint(2, 4)):
+            x = {"phone": phone, "card": card, "noise": lambda: r.choice((noise(), d(r.randint(1, 5)), str(r.randint(1950, 2040))))}[k]()
+            value += value and r.choice((" ", " ", " ", ", ", " / ", " or ", "\n"))
+            if k != "noise":
+                true.append((k, len(value), len(value) + len(x)))
+            value += x
+        return value, true
+
     out = []
     for _ in range(count):
+        if r.random() < 0.4:
+            value, true = beside()
+            head = f"{' '.join(word() for _ in range(r.randint(0, 6)))} {r.choice(('', '', 'phone', 'tel', 'call', 'card', 'order', 'ref'))} ".replace("  ", " ").lstrip()
+            out.append((f"{head}{value} {word()} {word()}.", [(k, len(head) + a, len(head) + b) for k, a, b in true]))
+            continue
         lead = " ".join(word() for _ in range(r.randint(0, 6)))
         if r.random() < 0.5:
             kind = r.choice(KINDS)
@@ -248,7 +296,8 @@ def labelled(lines: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarra
     for text, true in lines:
         for c in candidates(text):
             x.append(features(text, c))
-            y.append(float(any(c[0] == k and c[1] < b and a < c[2] for k, a, b in true)))
+            # Of the overlapping spans of a run of digits only the true one is right.
+            y.append(float(c in true if c[0] in ("card", "phone") else any(c[0] == k and c[1] < b and a < c[2] for k, a, b in true)))
             kinds.append(c[0])
     return np.array(x), np.array(y), kinds
 

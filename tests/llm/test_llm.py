@@ -134,6 +134,21 @@ def test_added_spans_are_right_on_held_out_lines():
     assert [s[0] for s in every] == ["email", "email"]
 
 
+def test_numbers_side_by_side_are_found():
+    model, limits = pii.trained()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.all_spans(t, model, limits)[1]]
+    assert found("call 555-123-4567 555-987-6543 now") == [("phone", "555-123-4567"), ("phone", "555-987-6543")]
+    assert found("(555) 123-4567 (555) 987-6543") == [("phone", "(555) 123-4567"), ("phone", "(555) 987-6543")]
+    assert ("phone", 0, 12) in pii.candidates("555-123-4567 2024 edition")
+    # Per first group at most as many spans as digits.
+    assert len(pii.candidates(" ".join(["1"] * 1000))) <= 2 * pii.MOST_DIGITS * 1000
+    lines = [x for x in pii.training_lines(78, 1500) if sum(k in ("card", "phone") for k, _, _ in x[1]) > 1]
+    true = [(t, s) for t, spans in lines for s in spans]
+    assert len(lines) > 300 and sum(s in pii.all_spans(t, model, limits)[1] for t, s in true) >= 0.95 * len(true)
+    wrong = [s for t, spans in lines for s in set(pii.all_spans(t, model, limits)[1]) - {*pii.base_spans(t), *spans}]
+    assert len(wrong) <= 0.02 * len(true)
+
+
 def test_redaction(spark):
     docs = docs_of(spark, [(1, "mail a@b.org now"), (2, None), (3, "clean")])
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "mail [EMAIL] now", 2: None, 3: "clean"}
