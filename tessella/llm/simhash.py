@@ -88,6 +88,21 @@ class BKTree:
             else:
                 stack += [children[k] for k in range(d - radius, d + radius + 1) if k in children]
 
+    def join(self, queries: np.ndarray, own: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each node reached, the queries at most radius bits from it, in one walk for all queries.
+
+        queries and own (the tree's items): rows of 64-bit words.
+        """
+        stack = [(0, np.arange(len(queries)))] if self.items and len(queries) else []
+        while stack:
+            at, some = stack.pop()
+            d = np.bitwise_count(queries[some] ^ own[at]).sum(1, dtype=np.int64)
+            yield at, some[d <= radius]
+            for k, child in self.children[at].items():
+                down = some[np.abs(d - k) <= radius]
+                if len(down):
+                    stack.append((child, down))
+
 
 def _stars(nodes: list[tuple[int, int]], queries: list[tuple[int, int]] | None, radius: int) -> list[tuple[int, int]]:
     """Spanning stars of the groups among (fingerprint, id) nodes and queries; queries None: the nodes themselves."""
@@ -169,21 +184,22 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes on an edge (a, b): alternating large-star and small-star steps, pinned each round.
 
-    Only the number of edges and a checksum reach the driver.
+    It ends when the edges are stars, that is when no node has two edges up or both an edge up and one down; only that
+    reaches the driver.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges, before = pinned(edges), None
+    edges = pinned(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")).distinct())
+        if ends.groupBy("node").agg(F.count("*").alias("n"), F.max("up").alias("up")).where("n > 1 and up = 1").isEmpty():
+            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
         low = both(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: every larger neighbour of a node is tied to the node's smallest neighbour.
         large = both(edges).join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = pinned(large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if now == before:
-            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-        before = now
+        tied = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = pinned(tied.select("e.*").where("a <> b").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

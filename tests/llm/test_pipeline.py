@@ -7,24 +7,32 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tessella.llm import byte_bpe, decontaminate, near_copies, pii, simhash, toxicity
+from tessella.llm import byte_bpe, decontaminate, near_copies, pii, toxicity
+
+
+def five_word_shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
 def brute(rows, items, labels):
     known = {d: y for d, y in labels}
     model = toxicity.fit([(known[d], t or "") for d, t in sorted(rows) if d in known and toxicity.crc_remainder(d) != 2])
     rows = [(d, t) for d, t in rows if model.score(t or "") < toxicity.THRESHOLD]
-    prints = {d: simhash.fingerprint(t) for d, t in rows}
-    group = {d: d for d in prints}
+    group = dict(enumerate(range(len(rows))))
+    grams = [five_word_shingles(t) for _, t in rows]
     changed = True
     while changed:
         changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] != group[b]:
+        for a in group:
+            for b in group:
+                if group[a] != group[b] and 5 * (n := len(grams[a] & grams[b])) >= 4 * (len(grams[a]) + len(grams[b]) - n):
                     group[a] = group[b] = min(group[a], group[b])
                     changed = True
-    rows = [(d, t) for d, t in rows if group[d] == d]
+    low = {}
+    for i, g in group.items():
+        low[g] = min(low.get(g, rows[i][0]), rows[i][0])
+    rows = [r for i, r in enumerate(rows) if r[0] == low[group[i]]]
     machine = decontaminate.SuffixAutomaton([(i, decontaminate.words_of(t)) for i, t in items])
     spans, limits = pii.trained()
     enc = byte_bpe.encoding(public_tokenizers.path(byte_bpe.DEFAULT_RANKS))
@@ -82,12 +90,9 @@ def test_near_duplicate_stage_matches_all_pairs(spark, monkeypatch):
         words[at : at + r.randint(0, 1)] = [f"new{i}"] * r.randint(0, 1)
         rows.append((1000 + i, " ".join(words)))
     rows += [(2000 + i, f"{passage} {i}") for i in range(40)] + [(3000, None), (3001, ""), (None, rows[5][1]), (4, rows[4][1])]
+    rows += [(7, rows[9][1]), (7, "an unrelated text under an id that another one has"), (None, "no id"), (None, "no id"), (None, "No ID")]
 
-    def grams(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets = [grams(t) for _, t in rows]
+    sets = [five_word_shingles(t) for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -95,13 +100,38 @@ def test_near_duplicate_stage_matches_all_pairs(spark, monkeypatch):
             if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
-    low = {}
-    for (d, _), g in zip(rows, group, strict=True):
-        low[g] = min(x for x in (low.get(g), d) if x is not None) if d is not None or g in low else None
-    gone = {d for (d, _), g in zip(rows, group, strict=True) if d is not None and d != low[g]}
-    assert sum(1000 <= d < 1150 for d in gone) > 60
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    members = {g: [i for i in range(len(rows)) if group[i] == g] for g in group}
+    stays = {g: {rows[i] for i in m if key(i) == min(map(key, m))} for g, m in members.items()}
+    assert sum(1000 <= d < 1150 for d, _ in rows if d) - sum(any(1000 <= (d or 0) < 1150 for d, _ in s) for s in stays.values()) > 60
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, th int")
     for cell in (1024, 7):
         monkeypatch.setattr(near_copies, "CELL", cell)
-        left = sorted((d.doc_id is None, d.doc_id or 0, d.text or "") for d in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
-        assert left == sorted((d is None, d or 0, t or "") for d, t in rows if d not in gone)
+        monkeypatch.setattr(near_copies, "TREE_NODES", 2 * cell)
+        left = [(d.doc_id, d.text) for d in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+        assert len(left) == len(stays)
+        for s in stays.values():
+            assert sum(x in s for x in left) == 1
+
+
+def test_near_duplicate_stage_of_no_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, "").collect() == []
+
+
+def test_wide_fingerprints_of_similar_sets_are_within_the_radius():
+    rng = np.random.default_rng(4)
+    for n in (5, 10, 40, 300):
+        worst = 0
+        for _ in range(400):
+            g = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            other = np.concatenate([g[: n - n // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64)]) if n >= 10 else g[:-1]
+            worst = max(worst, int(np.bitwise_count(near_copies.fingerprint(g) ^ near_copies.fingerprint(np.unique(other))).sum()))
+        assert worst <= near_copies.RADIUS
+
+
+def test_bit_map_holds_its_keys(spark):
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63, 3000)
+    known = near_copies._bit_map(spark.createDataFrame([(int(k),) for k in keys], "th long"), "th")
+    assert near_copies._in_bit_map(known, keys).all()
+    assert near_copies._in_bit_map(known, np.random.default_rng(6).integers(-(2**63), 2**63, 3000)).mean() < 0.1
