@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows of an Arrow batch: with texts of a few kB a batch stays at a few MB, with the longest ones under 100 MB.
-BATCH_ROWS = 500
+#: Rows and bytes handed to a function at once, the latter unless one row alone has more.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset and everything runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
     return f"{root}/tessella-{uuid.uuid4().hex}"
 
 
@@ -46,15 +45,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of BATCH_ROWS rows and about BATCH_BYTES bytes."""
+    rows = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with bounded batches; fn returns a batch, a dict of columns or None."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow over bounded pieces of batches; fn returns a batch, a dict of columns or None."""
     arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow) if isinstance(out, dict) else out
+        for whole in batches:
+            for batch in slices(whole):
+                if (out := fn(batch)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow) if isinstance(out, dict) else out
 
     return df.mapInArrow(run, schema)
 

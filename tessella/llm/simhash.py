@@ -143,7 +143,6 @@ def _signed(x: int) -> int:
 
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Spanning links (a, b), a > b, of nodes(node, fp), fp distinct: same components as all pairs within the radius."""
-    session = nodes.sparkSession
     masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(block_masks(radius))])
     placed = nodes.select("node", "fp", F.explode(masks).alias("m")).select("node", "fp", F.col("m.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("part"))
     sizes = placed.groupBy("choice", "part").count().where("count > 1").withColumnRenamed("count", "n")
@@ -177,7 +176,6 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
         if len(cell) > 1 and (out := close(*now[2:], cell)):
             yield out
 
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long").distinct()
 
 
