@@ -12,7 +12,8 @@ text falls into short runs of windows with one key.
 4. Spans are united per document and cut out.
 
 Runs of a key with very many kinds are cut once more by a second key, so a frequent passage whose surroundings always
-differ is spread over shards.  Counting is pre-aggregated, and joins on keys are ones that Spark can split when skewed.
+differ is spread over shards.  Counting is pre-aggregated and its results are written before they are joined, so that the
+joins on keys have plain exchanges on both sides, which Spark can split when a key is frequent.
 
 Cases: a null or empty text, or one under LENGTH bytes, loses nothing; of repeated rows (same id and text) each counts as
 an occurrence of its own and all are cut alike; null ids are kept; an empty table gives no rows.
@@ -245,7 +246,7 @@ def _search(snippets: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], schema=schema) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, bundle, size = None, [], [], 0
+        now, group, bundle, size, seen = None, [], [], 0, set()
         for batch in batches:
             for k, k2, *row in zip(*(batch.column(c).to_pylist() for c in ("m", "m2", "once", "inner", "d", "th", "start", "bytes")), strict=True):
                 if (k, k2) != now:
@@ -256,8 +257,10 @@ def _search(snippets: DataFrame) -> DataFrame:
                         if out := solve(bundle):
                             yield out
                         bundle, size = [], 0
-                    now, group = (k, k2), []
-                group.append(row)
+                    now, group, seen = (k, k2), [], set()
+                if (at := tuple(row[2:5])) not in seen:  # repeated rows of other batches
+                    seen.add(at)
+                    group.append(row)
         if (bundle := bundle + (group if len(group) > 1 or group and group[0][1] else [])) and (out := solve(bundle)):
             yield out
 
@@ -289,28 +292,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = _rows(docs, id_col, text_col)
     runs = keep(_runs(rows.where(F.octet_length("text") >= LENGTH)), "runs")
-    keys = runs.groupBy("m").agg(F.count("*").alias("c"), F.min("sh").alias("low"), F.max("sh").alias("high"), F.max("inner").alias("inner")).where("c > 1 or inner")
-    # Spark splits skewed sides of this join; it must not sort out a frequent key into one task.
-    again = keep(runs.join(keys.select("m", ((F.col("low") != F.col("high")) | F.col("inner")).alias("mixed")), "m"), "again")
-    delete_path(spark, f"{folder}/runs")
+    counted = runs.groupBy("m").agg(F.count("*").alias("c"), F.min("sh").alias("low"), F.max("sh").alias("high"), F.max("inner").alias("inner")).where("c > 1 or inner")
+    keys = keep(counted.select("m", ((F.col("low") != F.col("high")) | F.col("inner")).alias("mixed")), "keys")
+    again = keep(runs.join(keys, "m"), "again")
+    for done in ("runs", "keys"):
+        delete_path(spark, f"{folder}/{done}")
     kinds = again.groupBy("m", "sh").agg(F.count("*").alias("c"), F.min(F.struct("d", "th", "start")).alias("rep"), F.first("mixed").alias("mixed"))
-    many = kinds.where("mixed").groupBy("m").count().where(F.col("count") > MANY_KINDS).select("m", F.lit(True).alias("many"))
-    known = kinds.where("mixed or c > 1").join(many, "m", "left").select("m", "sh", "rep", "mixed", (F.col("c") > 1).alias("whole"), F.coalesce("many", F.lit(False)).alias("many"))
+    known = keep(kinds.where("mixed or c > 1").select("m", "sh", "rep", "mixed", (F.col("c") > 1).alias("whole")), "known")
+    many = known.where("mixed").groupBy("m").count().where(F.col("count") > MANY_KINDS).select("m", F.lit(True).alias("many"))
+    known = known.join(many, "m", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     marked = again.drop("mixed").join(known, ["m", "sh"]).select("d", "th", F.struct("start", "n", "m", "inner", "whole", "many", (F.col("mixed") & (F.struct("d", "th", "start") == F.col("rep"))).alias("send")).alias("r"))
-    mine = marked.groupBy("d", "th").agg(F.collect_list("r").alias("runs"))
+    # Repeated rows (same id and text) have equal runs, which count above and are held once here.
+    mine = marked.groupBy("d", "th").agg(F.collect_set("r").alias("runs"))
     met = rows.join(mine, ["d", "th"], "left").select("doc_id", "d", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("runs").isNotNull(), F.col("text").cast("binary")).alias("bytes"), F.when(F.col("runs").isNull(), F.col("text").cast("binary")).alias("clean"), "runs")
     clean_digest = F.sha2("clean", 256)
     met = keep(met.withColumn("clean", F.when(F.col("runs").isNull(), clean_digest)), "met")
-    delete_path(spark, f"{folder}/again")
+    for done in ("again", "known"):
+        delete_path(spark, f"{folder}/{done}")
 
     def send(batch: pa.RecordBatch) -> dict:
         out: list[tuple] = []
+        sent = set()
         for d, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("d", "th", "bytes", "runs")), strict=True):
-            seen = set()
+            if (d, th) in sent:  # repeated rows send once
+                continue
+            sent.add((d, th))
             for r in own:
-                if not r["send"] or (r["m"], r["start"]) in seen:  # repeated rows send once
+                if not r["send"]:
                     continue
-                seen.add((r["m"], r["start"]))
                 piece = text[r["start"] : r["start"] + r["n"] + LENGTH - 1]
                 if not r["many"]:
                     out.append((r["m"], 0, not r["whole"], r["inner"], d, th, r["start"], piece))
@@ -323,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = met.where("exists(runs, r -> r.send)").select("d", "th", "bytes", "runs")
     snippets = map_batches(texts, send, "m long, m2 long, once boolean, inner boolean, d long, th long, start long, bytes binary")
-    found = keep(_search(snippets).groupBy("d", "th").agg(F.collect_list(F.struct("start", "end")).alias("found")), "found")
+    found = keep(_search(snippets).groupBy("d", "th").agg(F.collect_set(F.struct("start", "end")).alias("found")), "found")
 
     def finish(batch: pa.RecordBatch) -> dict:
         kept, removed, count = [], [], []
