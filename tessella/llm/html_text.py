@@ -5,11 +5,14 @@ class, id and role words, its text and its links; parent-child potentials tie a
 and one downward pass of sum-product messages give each node's marginal; the text of nodes whose marginal is over one
 half is kept.  Potentials are trained here on labelled pages from a seeded page writer that mixes common page layouts.
 
-Script, style, form control and head contents are never text.  Character references are decoded once, white space inside
-a block becomes one space, blocks are joined in page order by a blank line, and nothing else is changed or cut.
-
-Cases: a null or empty page gives an empty text; broken markup is read as far as tags can be told; a page without any
-tag is one block; repeated rows are treated alike; null ids and urls are kept.
+Contents of script, style, form controls (buttons too), noscript, object, svg, math and head are never text.  Character
+references are decoded once within each piece of text between tags, white space inside a block becomes one space, blocks
+are joined in page order by a blank line, and nothing else is changed or cut.  Reading a page takes time in proportion to
+its length, whatever its markup.
+
+Cases: a null or empty page gives an empty text; in broken markup a quote opens a value only behind "=" and if it is closed
+later, and a tag or comment that never ends takes the rest of the page; a page without any tag is one block; repeated rows
+are treated alike; null ids and urls are kept.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import html
 import math
 import random
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -34,12 +38,16 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title noscript template svg iframe object select button canvas math noframes xmp".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "main", "nav", "aside", "footer", "header", "form"))
+P_SCOPES = SCOPES | {"li", "td", "th", "blockquote"}
 HINTS = {
     "aside": frozenset("nav navbar navigation menu header footer sidebar aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored sponsors cookie cookies consent notice notices gdpr newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs pagination pager widget widgets toolbar popup modal skip login search masthead topbar bottom copyright legal disclaimer tags meta byline contentinfo complementary teaser outbrain taboola alert".split()),
     "talk": frozenset("comment comments commentlist reply replies respond discussion disqus reviews thread".split()),
     "text": frozenset("article content post entry main story body text articlebody maincontent prose".split()),
 }
-_TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_PLAIN = re.compile(r"[^>\"']*+")
+_COMMENT_END = re.compile(r"--!?>|(?<=<!--)-?>")
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -54,41 +62,68 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self.linked = [0]
         stack, parts, in_link, at = [0], [], 0, 0
-        end = len(source)
+        open_at: dict[str, list[int]] = defaultdict(list)  # places of each tag's open elements in the stack
+        end, has_head_end = len(source), True
+        unclosed: set[str] = set()  # quotes of which none follows any more
 
         def flush() -> None:
             if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
+                text = " ".join("".join(parts).split())
                 if text:
                     self.blocks.append((stack[-1], text))
                 parts.clear()
 
         def pop_to(names: tuple[str, ...], scopes: frozenset[str] = frozenset()) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[i]] in names:
-                    flush()
-                    del stack[i:]
-                    return
-                if self.tag[stack[i]] in scopes:
-                    return
+            """Close the innermost open element of these names, unless one of the scopes is open inside it."""
+            i = max((open_at[n][-1] for n in names if open_at[n]), default=0)
+            if i and (not scopes or i >= max((open_at[n][-1] for n in scopes if open_at[n]), default=0)):
+                flush()
+                for node in reversed(stack[i:]):
+                    open_at[self.tag[node]].pop()
+                del stack[i:]
 
         def add(piece: str) -> None:
+            piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             if in_link:
                 self.linked[stack[-1]] += len(piece.strip())
 
+        def tag_end(start: int) -> int:
+            """Where the tag's ">" stands; the page's end if it has none."""
+            i = start
+            while True:
+                i = _PLAIN.match(source, i).end()
+                if i >= end or source[i] == ">":
+                    return i
+                quote, i = source[i], i + 1
+                if quote not in unclosed:
+                    before = i - 2
+                    while before > start and source[before].isspace():
+                        before -= 1
+                    if source[before] == "=":
+                        close = source.find(quote, i)
+                        if close < 0:
+                            unclosed.add(quote)
+                        else:
+                            i = close + 1
+
         while at < end:
-            m = _TAG.search(source, at)
+            m = _OPEN.search(source, at)
             if not m:
                 add(source[at:])
                 break
             if m.start() > at:
                 add(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
-                continue
             if m[1]:
+                close = _COMMENT_END.search(source, m.end())
+                at = close.end() if close else end
+                continue
+            if not m[3]:
+                at = source.find(">", m.end()) + 1 or end
+                continue
+            name, stop = m[3].lower(), tag_end(m.end())
+            attrs, at = source[m.end() : stop], stop + 1
+            if m[2]:
                 if name == "a":
                     in_link = max(0, in_link - 1)
                 elif name in BLOCK:
@@ -100,7 +135,8 @@ class Page:
                 at = at or end
                 parts.append(" ")
             elif name == "head":
-                found = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
+                found = _HEAD_END.search(source, at) if has_head_end else None
+                has_head_end = found is not None
                 at = at if not found else found.end() if found[0][1] == "/" else found.start()
                 if found:
                     flush()
@@ -113,11 +149,13 @@ class Page:
                 in_link = 0
                 if name in CLOSES:
                     pop_to(CLOSES[name], SCOPES if name in ("li", "dt", "dd") else frozenset(("table",)))
-                pop_to(("p",), SCOPES | {"li", "td", "th", "blockquote"})
+                if open_at["p"]:
+                    pop_to(("p",), P_SCOPES)
                 self.tag.append(name)
                 self.parent.append(stack[-1])
-                self.attrs.append(m[3] or "")
+                self.attrs.append(attrs)
                 self.linked.append(0)
+                open_at[name].append(len(stack))
                 stack.append(len(self.tag) - 1)
         flush()
 
