@@ -5,10 +5,10 @@ A file is an Arrow IPC stream of record batches (ids: fixed_size_list<uint16 or
 All batches but the last have BATCH sequences, so sequence k's batch and row follow by division, and a memory-mapped file
 is read without a copy.
 
-Documents are dealt into buckets of neighbouring ids, each bucket is sorted and written by one task as one file, and a
+Documents are range-partitioned by id into buckets, each bucket is sorted and written by one task as one file, and a
 manifest table (doc_id, bucket, file, first id's place in the file, number of ids) is committed by Spark: a file left by
 a lost or repeated attempt has a name of its own and is in no manifest.  A bucket's first global place is the sum of the
-buckets before it, one row each.
+buckets before it, one row each, summed up in two levels.
 
 Cases: a null or empty text has only the end id; repeated rows each get ids, rows with the same id in any order; rows
 with a null id come first; an empty table gives no file.
@@ -27,16 +27,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm._common import BATCH_ROWS, id_and_text, shared_dir
+from tessella.llm._common import id_and_text, shared_dir, slices
 
 LENGTH, BATCH, END = 2048, 64, 1
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text of one file, about.
 BUCKET_BYTES = 16 << 20
+#: Buckets whose first places one task sums up.
+SUM_GROUP = 4096
 MOST_CACHED = 1_000_000
 #: Punctuation that is cut from behind a word of letters.
 TAIL = ".,;:!?"
@@ -103,16 +106,17 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes of self.dtype."""
         gc.disable()  # millions of words and no cycle among them
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        found = [list(map(self.known.get, words)) for words in split]
-        if new := {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}:
-            self._learn(new)
-        end = np.array([END], self.dtype).tobytes()
-        out = [b"".join([*(ids if None not in ids else map(self.known.__getitem__, words)), end]) for words, ids in zip(split, found, strict=True)]
-        gc.enable()
-        return out
+        try:
+            split = [t.encode().split() for t in texts]
+            if len(self.known) > MOST_CACHED:
+                self.known.clear()
+            found = [list(map(self.known.get, words)) for words in split]
+            if new := {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}:
+                self._learn(new)
+            end = np.array([END], self.dtype).tobytes()
+            return [b"".join([*(ids if None not in ids else map(self.known.__getitem__, words)), end]) for words, ids in zip(split, found, strict=True)]
+        finally:
+            gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -162,7 +166,11 @@ class SequenceWriter:
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """Arrow's file system for a Hadoop path: S3 by any of Hadoop's names for it, HDFS, Azure, Google and local files."""
+    kind, colon, rest = uri.partition(":")
+    if not colon:
+        return pafs.FileSystem.from_uri(f"file://{uri}")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(kind, kind) + ":" + rest)
 
 
 class SequenceFile:
@@ -193,59 +201,51 @@ class SequenceFile:
         return b.column("ids")[k % BATCH], b.column("mask")[k % BATCH]
 
 
-def bucketed(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """rows with a bucket of neighbouring ids, of about bucket_bytes of text each, and the number of buckets."""
+def bucketed(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """rows in partitions of neighbouring ids (null first), sorted, of about bucket_bytes of text each; rows that share an id are told apart by their texts."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    n = max(1, min(total[1], -(-total[0] // bucket_bytes)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] or [])) if n > 1 else []
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    # Buckets by one search among the sorted cuts; a null id goes to bucket 0.
-    step = F.expr("0")
-    if cuts:
-        step = F.coalesce(F.size(F.filter(edges, lambda c: c < F.col("doc_id"))), F.lit(0))
-    return rows.withColumn("bucket", step.cast("int")), len(cuts) + 1
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return rows.repartitionByRange(max(1, min(total[1], -(-total[0] // bucket_bytes))), *order).sortWithinPartitions(*order)
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write docs' ids below folder/files and the manifest to folder/manifest; returns the manifest."""
     path = path or public_tokenizers.path(DEFAULT_TOKENIZER)
     spark = docs.sparkSession
-    rows, n = bucketed(id_and_text(docs), bucket_bytes)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     files = f"{folder}/files"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("bucket", pa.int32()), ("file", pa.string()), ("place", pa.int64()), ("n_tokens", pa.int64())])
-        enc, now, writer, sink, name = encoder(path), None, None, None, ""
-        for batch in batches:
-            out = []
-            encoded = enc.encode_all(batch.column("text").to_pylist())
-            for d, b, ids in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "bucket")), encoded, strict=True):
-                if b != now:
-                    if writer:
-                        writer.close()
-                        sink.close()
-                    now, name = b, f"{files}/{b:06d}-{uuid.uuid4().hex}.arrow"
-                    fs, p = _filesystem(name)
-                    fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-                    sink = fs.open_output_stream(p)
-                    writer = SequenceWriter(sink, enc.dtype)
-                out.append((d, b, name, writer.append(ids), len(ids) // enc.dtype.itemsize))
+        enc, bucket, writer, sink, name = encoder(path), TaskContext.get().partitionId(), None, None, ""
+        for batch in (piece for whole in batches for piece in slices(whole)):
+            if writer is None:
+                name = f"{files}/{bucket:06d}-{uuid.uuid4().hex}.arrow"
+                fs, p = _filesystem(name)
+                fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
+                sink = fs.open_output_stream(p)
+                writer = SequenceWriter(sink, enc.dtype)
+            size = enc.dtype.itemsize
+            out = [(d, bucket, name, writer.append(ids), len(ids) // size) for d, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist()), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
         if writer:
             writer.close()
             sink.close()
 
-    dealt = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
-    dealt.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    bucketed(id_and_text(docs), bucket_bytes).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def firsts(manifest: DataFrame) -> DataFrame:
+    """(bucket, first): the ids of all buckets before each, summed up in groups of SUM_GROUP buckets, then over the groups."""
+    ends = manifest.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).withColumn("g", F.expr(f"bucket div {SUM_GROUP}"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = ends.groupBy("g").agg(F.sum("n").alias("n")).select("g", before(Window.orderBy("g")).alias("base"))
+    inner = ends.withColumn("at", before(Window.partitionBy("g").orderBy("bucket")))
+    return inner.join(groups, "g").select("bucket", (F.col("base") + F.col("at")).alias("first"))
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every row, from the files."""
-    ends = manifest.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = ends.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
@@ -258,7 +258,7 @@ def read(manifest: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bucket"), batch.column("place"), batch.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "bucket", "place", "n_tokens", "ids_crc32"])
 
     got = manifest.mapInArrow(run, "doc_id long, bucket int, place long, n_tokens long, ids_crc32 long")
-    return got.join(F.broadcast(first), "bucket").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    return got.join(firsts(manifest), "bucket").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
