@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-Texts up to CHUNK code points are one chunk and are encoded where they are read.  A longer text is cut into chunks that
-overlap by OVERLAP code points and are dealt out over the cluster; each is pre-tokenised from its own start, so its first
-boundaries may be wrong, but a pre-token depends only on what follows its start: from the first boundary that a chunk
-shares with its predecessor on, both agree.  There the chunks are stitched.  Where the overlap shows no common boundary
+Texts are cut into chunks that overlap by OVERLAP code points; a text of up to CHUNK code points is one chunk and is
+encoded where it is read, the chunks of a longer one are dealt out over the cluster.  Each is pre-tokenised from its own
+start, so its first boundaries may be wrong, but a pre-token depends only on what follows its start: from the first
+boundary that a chunk shares with its predecessor on, both agree.  There the chunks are stitched.  Where the overlap shows no common boundary
 (one huge pre-token), the predecessor goes on over the following chunks until they resynchronise, so the result is always
 that of the whole text.  Decoding concatenates the raw bytes of the ids.
 
@@ -43,6 +43,12 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def _memory(path: str) -> dict[str, bytes]:
+    """Ids of pieces that this worker has seen."""
+    return {}
+
+
 @lru_cache(maxsize=1)
 def _pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
@@ -99,20 +105,28 @@ def stitched(chunks: list[Chunk]) -> Iterator[tuple[Chunk, int, int]]:
     yield now, at, now.start + len(now.text)
 
 
-def encode_stretch(enc: tiktoken.Encoding, chunk: Chunk, a: int, b: int, cache: dict[str, list[int]]) -> list[int]:
-    """Ids of the pre-tokens of [a, b), each encoded separately."""
-    ids: list[int] = []
-    inside = [x for x in chunk.bounds if a <= x < b]
-    for p, q in zip(inside, [*inside[1:], b]):
-        piece = chunk.slice(p, q)
-        if (known := cache.get(piece)) is None:
-            known = enc._encode_single_piece(piece.encode())
-            if len(cache) >= MOST_CACHED:
-                cache.clear()
-            if len(piece) < 100:
-                cache[piece] = known
-        ids += known
-    return ids
+def encode_stretch(enc: tiktoken.Encoding, chunk: Chunk, a: int, b: int, cache: dict[str, bytes]) -> bytes:
+    """Ids of the pre-tokens of [a, b), each encoded separately, as little-endian unsigned 32-bit integers."""
+    inside = chunk.bounds if a == chunk.start and b == chunk.start + len(chunk.text) else [x for x in chunk.bounds if a <= x < b]
+    text, shift = chunk.text, chunk.start
+    edges = [x - shift for x in inside if x < b] + [b - shift]
+    pieces = [text[p:q] for p, q in zip(edges, edges[1:])]
+    found = list(map(cache.get, pieces))
+    if None in found:
+        if len(cache) >= MOST_CACHED:
+            cache.clear()
+        for i, piece in enumerate(pieces):
+            if found[i] is None:
+                found[i] = np.array(enc._encode_single_piece(piece.encode()), "<u4").tobytes()
+                if len(piece) < 100:
+                    cache[piece] = found[i]
+    return b"".join(found)
+
+
+def encode_chunks(enc: tiktoken.Encoding, chunks: list[Chunk], cache: dict[str, bytes]) -> tuple[bytes, bytes]:
+    """The ids of a text from its chunks in order, and the bytes that they decode to."""
+    ids = b"".join(encode_stretch(enc, chunk, a, b, cache) for chunk, a, b in stitched(chunks))
+    return ids, enc.decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
 
 def cut(text: str) -> list[tuple[int, str, bool]]:
@@ -126,9 +140,9 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = id_and_text(docs)
 
     def whole(batch: pa.RecordBatch) -> dict:
-        enc = encoding(path)
-        ids = [enc.encode_ordinary(t) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "ids": [np.array(x, "<u4").tobytes() for x in ids], "decoded": [enc.decode_bytes(x) for x in ids]}
+        enc, cache = encoding(path), _memory(path)
+        done = [encode_chunks(enc, [Chunk(*c) for c in cut(t)], cache) for t in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "ids": [x for x, _ in done], "decoded": [x for _, x in done]}
 
     def split(batch: pa.RecordBatch) -> dict:
         parts = [(d, u, *c) for d, u, t in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "uid", "text")), strict=True) for c in cut(t)]
@@ -140,10 +154,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def stitch(group: pa.Table) -> pa.Table:
         got = sorted(group.to_pylist(), key=lambda r: r["start"])
-        enc, cache, ids = encoding(path), {}, []
-        for chunk, a, b in stitched([Chunk(r["start"], r["text"], r["last"], r["bounds"]) for r in got]):
-            ids += encode_stretch(enc, chunk, a, b, cache)
-        return pa.table({"doc_id": pa.array([got[0]["doc_id"]], pa.int64()), "ids": pa.array([np.array(ids, "<u4").tobytes()], pa.binary()), "decoded": pa.array([enc.decode_bytes(ids)], pa.binary())})
+        ids, decoded = encode_chunks(encoding(path), [Chunk(r["start"], r["text"], r["last"], r["bounds"]) for r in got], _memory(path))
+        return pa.table({"doc_id": pa.array([got[0]["doc_id"]], pa.int64()), "ids": pa.array([ids], pa.binary()), "decoded": pa.array([decoded], pa.binary())})
 
     short = map_batches(rows.where(F.char_length("text") <= CHUNK), whole, ENCODED)
     long = rows.where(F.char_length("text") > CHUNK).withColumn("uid", F.monotonically_increasing_id())
