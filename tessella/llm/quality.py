@@ -9,7 +9,8 @@ Trying in an order fixed without these rows needs no correction; across strata t
 So with probability 1 - LEVEL no stratum loses more than RISK of its good documents to these rules.  A stratum gets no
 rule if even no rejected row does not show that: below ln(LEVEL / strata) / ln(1 - RISK) good rows, 217 with four strata.
 
-All labelled rows are used; only counts by rule and cutoff, and by stratum and rung, reach the driver.
+All labelled rows are used; only counts by rule and cutoff and the number of strata reach the driver.  Strata are walked in
+tasks, and their last rungs are joined to the rows.
 
 Cases: a null or empty text has no words and fails the base rule; a null stratum counts as one of its own; repeated rows
 come back repeated, and labels that occur more than once for an id count once (the lowest); without labels there are no
@@ -73,8 +74,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the measures of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """doc_id, stratum ("=" and its name, or null) and the measures of every row."""
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("null"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), stratum.alias("stratum"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         got = [measures(t) for t in batch.column("text").to_pylist()]
@@ -193,10 +195,15 @@ def verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: floa
         (poor if r["poor"] else others)[r["rule"]][r["step"]] = r["count"]
     first = ladder(poor, others)
     rung = F.least(*[F.element_at(F.array(*map(F.lit, first[r])), c + 1) for r, c in shares.items()])
-    counts: dict[str, dict[int, int]] = {}
-    for r in rows.where("q = 1").groupBy("stratum", rung.alias("rung")).count().collect():  # strata x rungs rows, however many documents
-        counts.setdefault(r["stratum"], {})[r["rung"]] = r["count"]
-    last = [x for s, k in walk(counts, risk, level).items() for x in (F.lit(s), F.lit(k))]
-    rejected = F.coalesce(rung <= F.create_map(*last)[F.col("stratum")], F.lit(False)) if last else F.lit(False)
+    counts = pinned(rows.where("q = 1").groupBy("stratum", rung.alias("rung")).agg(F.count("*").alias("n")))
+    strata = counts.select("stratum").distinct().count()
+
+    def last(group: pa.Table) -> pa.Table:
+        key = group.column("stratum")[0].as_py()
+        got = walk({key: dict(zip(group.column("rung").to_pylist(), group.column("n").to_pylist(), strict=True))}, risk, level / strata)
+        return pa.table({"stratum": pa.array(list(got), pa.string()), "last": pa.array(list(got.values()), pa.int32())})
+
+    limits = pinned(counts.groupBy("stratum").applyInArrow(last, "stratum string, last int"))
+    rejected = F.coalesce(rung <= F.col("last"), F.lit(False))
     failed = base_failed()
-    return seen.select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
+    return seen.join(limits, "stratum", "left").select("doc_id", *MEASURES, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
