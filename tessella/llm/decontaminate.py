@@ -4,9 +4,10 @@ The items' word sequences go into one automaton.  Streaming a document's words t
 longest sequence ending there that occurs in some item; a word sequence of WINDOW item words (or a whole shorter item)
 that ends at this word is a hit, and every word it covers is contaminated.
 
-The items are cut into shards of at most SHARD_WORDS words, one automaton each, so that what is broadcast has a fixed
-bound; with several shards the documents are streamed past each and the hits of a document are united.  Windows never
-cross items, so the cut loses nothing.
+The items are cut into shards of at most SHARD_WORDS words, one automaton each, and TOGETHER automata at most are held at
+a time, so that driver, broadcasts and workers have a fixed bound.  With several shards the documents are streamed past
+each with the hits found so far in two further columns, written between one set of automata and the next; spans are cut
+out once, when all automata have read the whole text.  Windows never cross items, so sharding changes no result.
 
 Cases: a null or empty text has no words and is not contaminated; an item without words has no window; repeated items
 all count, each by its own id; items with a null id take no part; repeated document rows come back repeated.
@@ -16,19 +17,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from tessella.llm._common import id_and_text, map_batches
+from tessella.llm._common import id_and_text, map_batches, pinned
 
 WINDOW = 10
-#: Words of one automaton at most (an item is never cut).
-SHARD_WORDS = 500_000
+#: Words of one automaton at most (an item is never cut; about 0.1 GB per 100,000 words), and automata held at a time.
+SHARD_WORDS, TOGETHER = 200_000, 2
 #: A word, once A-Z are lower-cased.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ANY_CASE = re.compile(_WORD.pattern.replace(r"\x60", r"\x40\x5B-\x60"))
@@ -61,13 +62,13 @@ class SuffixAutomaton:
             if 0 < len(words) < window:
                 shorts.append((item, words))
         # Ends of items' prefixes, carried down the suffix links as far as strings of a window's length go.
-        self.owners: dict[int, set[int]] = {}
+        self.owners: dict[int, tuple[int, ...]] = {}
         order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
         for s in order:
             up = self.link[s]
             if seen_at[s] and self.length[up] < window:
                 if self.length[s] >= window:
-                    self.owners[s] = seen_at[s]
+                    self.owners[s] = tuple(seen_at[s])
             elif up >= 0:
                 seen_at[up] |= seen_at[s]
         #: For each state: the whole short items that end there, (words, item), longest first.
@@ -139,7 +140,7 @@ class SuffixAutomaton:
                 s = state
                 while length[link[s]] >= window:
                     s = link[s]
-                items |= owners[s]
+                items.update(owners[s])
                 if size > window and spans and spans[-1][1] == i:  # the span before just grows
                     cover = 1
             if ends[state]:
@@ -172,36 +173,62 @@ def ids_digest(items) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def _found(docs: DataFrame, machine: SuffixAutomaton, shard: int) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(machine)
+def _united(spans: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of both lists in order, touching or overlapping ones joined."""
+    if not spans or not more:
+        return spans or more
+    out: list[tuple[int, int]] = []
+    for s, e in sorted([*spans, *more]):
+        if out and out[-1][1] >= s:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out = [(w := words_of(t)) and (len(w), *shared.value.match(w)) or (0, [], ()) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "shard": [shard] * len(out), "row": batch.column("row") if "row" in batch.schema.names else [0] * len(out), "n_words": [x[0] for x in out], "spans": [[{"s": a, "e": b} for a, b in x[1]] for x in out], "items": [sorted(map(str, x[2])) for x in out]}
 
-    return map_batches(docs, run, "doc_id long, shard int, row long, n_words long, spans array<struct<s:long,e:long>>, items array<string>")
+#: What becomes of a batch, given the words of each row, their hit spans and the items hit.
+Finish = Callable[[pa.RecordBatch, list[list[bytes]], list[list[tuple[int, int]]], list[set[str]]], pa.RecordBatch | dict]
+
+
+def _streamed(docs: DataFrame, machines: Iterator[SuffixAutomaton], text_col: str, finish: Finish, schema: str | StructType) -> DataFrame:
+    """docs past every automaton; the last one hands each batch to finish()."""
+    names = [f"_{k}_" + "_".join(docs.columns) for k in ("spans", "items")]  # no column of docs has these names
+    carried = StructType([*docs.schema.fields, StructField(names[0], BinaryType()), StructField(names[1], ArrayType(StringType()))])
+    machine, out, held = next(machines), docs, []
+    while machine is not None:
+        after = next(machines, None)
+        held.append(docs.sparkSession.sparkContext.broadcast(machine))
+
+        def run(batch: pa.RecordBatch, shared=held[-1], last=after is None) -> pa.RecordBatch | dict:
+            words = [words_of(t) for t in batch.column(text_col).to_pylist()]
+            found = [shared.value.match(w) for w in words]
+            spans, items = [a for a, _ in found], [set(map(str, b)) for _, b in found]
+            if names[0] in batch.schema.names:
+                before = [[(s, e) for s, e in np.frombuffer(x, np.int64).reshape(-1, 2).tolist()] for x in batch.column(names[0]).to_pylist()]
+                spans = list(map(_united, before, spans))
+                items = [a.union(b) for a, b in zip(items, batch.column(names[1]).to_pylist(), strict=True)]
+                batch = batch.drop_columns(names)
+            if last:
+                return finish(batch, words, spans, items)
+            return batch.append_column(names[0], pa.array([np.array(x, np.int64).tobytes() for x in spans], pa.binary())).append_column(names[1], pa.array(list(map(sorted, items)), pa.list_(pa.string())))
+
+        out = map_batches(out, run, schema if after is None else carried)
+        if after is not None and len(held) >= TOGETHER:
+            out = pinned(out)
+            for b in held:
+                b.destroy()
+            held = []
+        machine = after
+    return out
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, spans (hit word ranges, merged) and items (ids as sorted strings) of every row."""
-    machines = list(automata(items, window, shard_words))
-    rows = id_and_text(docs)
-    if len(machines) == 1:
-        return _found(rows, machines[0], 0).drop("shard", "row")
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    every = None
-    for k, m in enumerate(machines):
-        part = _found(rows, m, k)
-        every = part if every is None else every.unionByName(part)
-    # Repeated rows (same id and text) are told apart by how often each shard saw them.
-    return every.groupBy("doc_id", "row", "n_words").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.expr("count(*) div " + str(len(machines))).alias("times")).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc_id", "n_words", _merged(F.col("s")).alias("spans"), "items")
 
+    def finish(batch, words, spans, found) -> dict:
+        return {"doc_id": batch.column("doc_id"), "n_words": list(map(len, words)), "spans": [[{"s": a, "e": b} for a, b in x] for x in spans], "items": list(map(sorted, found))}
 
-def _merged(spans):
-    """Sorted spans with touching or overlapping ones joined."""
-    empty = F.array().cast("array<struct<s:long,e:long>>")
-    return F.aggregate(spans, empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
+    return _streamed(id_and_text(docs), automata(items, window, shard_words), "text", finish, "doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -230,40 +257,10 @@ def _cut(batch: pa.RecordBatch, text_col: str, every: list[list[tuple[int, int]]
     return batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type)).filter(pa.array(kept, pa.bool_()))
 
 
-def _united(spans: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of both lists in order, touching or overlapping ones joined."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted([*spans, *more]):
-        if out and out[-1][1] >= s:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
 def remove_spans(docs: DataFrame, items: DataFrame, most_share: float = 0.5, window: int = WINDOW, shard_words: int = SHARD_WORDS, text_col: str = "text") -> DataFrame:
-    """docs with the hit spans cut out of the text; rows whose hits cover more than most_share of their words go.
-
-    Every automaton reads the whole text; the spans that earlier ones found travel in a column, and the last one cuts.
-    """
-    machines = automata(items, window, shard_words)
-    machine, out = next(machines), docs
-    found = "_spans_" + "_".join(docs.columns)  # no column of docs has this name
-    carried = StructType([*docs.schema.fields, StructField(found, BinaryType())])
-    while machine is not None:
-        after = next(machines, None)
-        shared = docs.sparkSession.sparkContext.broadcast(machine)
-
-        def run(batch: pa.RecordBatch, shared=shared, last=after is None) -> pa.RecordBatch:
-            every = [shared.value.match(words_of(t))[0] for t in batch.column(text_col).to_pylist()]
-            if found in batch.schema.names:
-                before = [np.frombuffer(x, np.int64).reshape(-1, 2).tolist() for x in batch.column(found).to_pylist()]
-                every = [_united([(s, e) for s, e in b], more) for b, more in zip(before, every, strict=True)]
-                batch = batch.drop_columns([found])
-            if last:
-                return _cut(batch, text_col, every, most_share)
-            return batch.append_column(found, pa.array([np.array(x, np.int64).tobytes() for x in every], pa.binary()))
+    """docs with the hit spans cut out of the text; rows whose hits cover more than most_share of their words go."""
 
-        out = map_batches(out, run, docs.schema if after is None else carried)
-        machine = after
-    return out
+    def finish(batch, words, spans, found) -> pa.RecordBatch:
+        return _cut(batch, text_col, spans, most_share)
+
+    return _streamed(docs, automata(items, window, shard_words), text_col, finish, docs.schema)
