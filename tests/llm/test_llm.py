@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import byte_bpe, decontaminate, html_text, pii, quality, shard, simhash, suffix_dedup, token_files, toxicity
+from tessella.llm import byte_bpe, decontaminate, html_text, pii, quality, queries, shard, simhash, suffix_dedup, token_files, toxicity
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (4, "a"), (None, "null id"), (5, "Ünï cödé " * 40), (6, "x" * 70_000), (7, "word " * 9_000), (8, "word " * 9_000)]
 
@@ -149,6 +150,45 @@ def test_numbers_side_by_side_are_found():
     assert len(wrong) <= 0.02 * len(true)
 
 
+#: Lines and the span that some generator must propose, in layouts that the trainer does not write.
+LAYOUTS = [
+    ("reach joe.smith at mail.example.org today", "email", "joe.smith at mail.example.org"),
+    ("Jane_Roe(AT)Example.Org", "email", "Jane_Roe(AT)Example.Org"),
+    ("x [at] host-1 [dot] co [dot] uk", "email", "x [at] host-1 [dot] co [dot] uk"),
+    ("a.b @ c.de", "email", "a.b @ c.de"),
+    ("from 2001:db8::ff00:42:8329 on", "ip", "2001:db8::ff00:42:8329"),
+    ("10(.)0(.)0(.)7", "ip", "10(.)0(.)0(.)7"),
+    ("0049/30/1234567", "phone", "0049/30/1234567"),
+    ("12-34-56-78-90", "phone", "12-34-56-78-90"),
+    ("4111.1111.1111.1111 2031", "card", "4111.1111.1111.1111"),
+    ("3782 822463 10005 7 7", "card", "3782 822463 10005"),
+]
+
+
+def test_generators_propose_unseen_layouts():
+    for text, kind, part in LAYOUTS:
+        a = text.index(part)
+        assert (kind, a, a + len(part)) in pii.candidates(text), text
+    plain = "They met at home. Then at the A.B. at 12:30:45, std::vector @ all, a@, at at at. " * 50
+    assert len(pii.candidates(plain)) <= 100
+
+
+def test_selection_matches_brute_force():
+    model, limits = pii.trained()
+    for text, _ in pii.training_lines(5, 400):
+        text = text + " a@b.org +1 (212) 555-0100"
+        base = brute_spans(text)
+        left = {c: model.probability(pii.features(text, c)) for c in set(pii.candidates(text))}
+        left = {c: p for c, p in left.items() if p >= limits[c[0]] and all(c[2] <= a or b <= c[1] for _, a, b in base)}
+        want = list(base)
+        while left:
+            best = max(left, key=lambda c: (left[c], -c[1], [-x for x in c[0].encode()], -c[2]))
+            want.append(best)
+            left = {c: p for c, p in left.items() if c[2] <= best[1] or best[2] <= c[1]}
+        found, every = pii.all_spans(text, model, limits)
+        assert found == base and sorted(every) == sorted(want)
+
+
 def test_redaction(spark):
     docs = docs_of(spark, [(1, "mail a@b.org now"), (2, None), (3, "clean")])
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "mail [EMAIL] now", 2: None, 3: "clean"}
@@ -165,8 +205,8 @@ def test_chunks_stitch_to_the_whole(monkeypatch):
         r = random.Random(seed)
         al = r.choice(["ab '", "a \n", "a'slltre ", "é1 .,\t", "a", "  \n\r", "ab12 '!?é "])
         t = "".join(r.choice(al) * r.choice([1, 1, 1, 2, 30]) for _ in range(r.randint(0, 90)))
-        ids = [x for c, a, b in byte_bpe.stitched([byte_bpe.Chunk(*c) for c in byte_bpe.cut(t)]) for x in byte_bpe.encode_stretch(enc, c, a, b, {})]
-        assert ids == enc.encode_ordinary(t)
+        ids, back = byte_bpe.encode_chunks(enc, [byte_bpe.Chunk(*c) for c in byte_bpe.cut(t)], {})
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and back == t.encode()
 
 
 def test_bpe_table(spark, odd):
@@ -193,6 +233,9 @@ def test_token_files(spark, tmp_path):
         want[d, at, len(ids), zlib.crc32(ids.tobytes())] += 1
         at += len(ids)
     assert got == want
+    few = spark.createDataFrame([(b, 10 + b) for b in range(0, 9000, 7)], "bucket int, n_tokens long")
+    sums = {r.bucket: r.first for r in token_files.firsts(few).collect()}
+    assert sums == {b: sum(10 + x for x in range(0, b, 7)) for b in range(0, 9000, 7)}
     one = token_files.SequenceFile(manifest.first().file)
     ids, mask = one.sequence(0)
     assert len(ids) == len(mask) == token_files.LENGTH
@@ -403,6 +446,15 @@ def test_repeats_match_brute_force(spark, monkeypatch, many, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_many_repeated_rows(spark):
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefghij klmno") for _ in range(n))
+    same, other, part = noise(6000), noise(3000), noise(400)
+    rows = [(7, same)] * 600 + [(None, other)] * 600 + [(9, other)] + [(10 + i, noise(300) + part + noise(50)) for i in range(20)]
+    got = collections.Counter(tuple(x[:5]) for x in suffix_dedup.remove_repeats(docs_of(spark, rows)).collect())
+    assert got == collections.Counter(brute_removed(rows))
+
+
 # --- 9 toxicity ------------------------------------------------------------------------------------------------------
 
 
@@ -449,6 +501,26 @@ def test_inflected_stems_count_from_several_forms():
     assert np.mean([(model.score(t) >= toxicity.THRESHOLD) == bool(y) for y, t in sample(400)]) > 0.98
 
 
+def test_the_grammar_reads_contexts():
+    model = toxicity.ToxicityModel(words={"idiot": 1.0})
+    found = lambda t: {p for p, n in zip(toxicity.PATTERNS, model.clause_counts(t), strict=True) if n}
+    assert found("what an idiot") == {"insult"} and found("you are an idiot") == {"aimed_insult"}
+    assert found("idiot, that is what you are") == {"insult", "aimed_insult"}
+    assert found("this idiot went far far away from there before you") == {"insult"}
+    assert found("he is not an idiot") == {"negated_insult"} and found("someone said that idiot left") == {"quoted_insult"}
+    assert found("i will kill you") == {"threat"} and found("kill some time") == set() and found("i will not kill you") == set()
+    assert found("they said i would kill you") == set() and found("kill it. you know") == set()
+
+
+def test_tables_and_memory_give_one_model(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(toxic_sample(3, 1200))]
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(toxic_sample(3, 1200))] + [(0, 0), (None, 1)], "doc_id long, toxic int")
+    learned = toxicity.fit_from_tables(docs_of(spark, [*rows, *rows[:50]]), labels)
+    alone = toxicity.fit([(y, t) for i, (y, t) in enumerate(toxic_sample(3, 1200)) if toxicity.crc_remainder(i) != 2])
+    assert learned.words == alone.words and learned.prefixes == alone.prefixes
+    assert np.allclose([*learned.weights, learned.bias], [*alone.weights, alone.bias])
+
+
 def test_held_out_rows(spark, odd):
     got = {r.doc_id: r.h for r in odd.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(h == (d is not None and toxicity.crc_remainder(d) == 2) for d, h in got.items())
@@ -488,6 +560,25 @@ def test_odd_pages(spark):
     assert got[1] == got[2] == got[None] == "" and got[3] == "plain & simple" and got[5] == "T\n\nSome text, which goes on <here>."
 
 
+def test_broken_pages_take_linear_time():
+    model = html_text.trained()
+    for piece in ("<b c ", "<p x='", "<!--", "<head>", "<div>", "</p>", "<li><p>", "<td", "&amp", "<script>", "<h1>", "</b ", "<a href=\"", "< ", "<!"):
+        for tail in ("", "\"", "'", ">", "</div>" * 50_000):
+            began = time.process_time()
+            html_text.extract(f"<p>start</p>{piece * (300_000 // len(piece))}{tail}", model)
+            assert time.process_time() - began < 6, (piece, tail[:6])
+
+
+def test_pages_are_read_as_browsers_do():
+    model = html_text.trained()
+    read = lambda body: html_text.extract(body, model)
+    assert read("&<b>amp;</b> x") == "&amp; x" and read("a &amp;amp; b &#65;&eacute;") == "a &amp; b Aé"
+    assert read("x<!-->y<!-- z -->w") == "xyw"
+    long = "A sentence which is long enough to be kept as the main text of this page. " * 3
+    assert read(f"<article><p title=it's>{long}</p><p class=\"a > b\">{long}don't</p></article>") == f"{long.strip()}\n\n{long}don't"
+    assert read(f"<article><p>{long}<b class=x\">bold</b></p></article>") == f"{long}bold"
+
+
 # --- all on odd and empty tables -------------------------------------------------------------------------------------
 
 
@@ -507,3 +598,26 @@ def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
         assert shard.placed(df).count() == n
         assert suffix_dedup.remove_repeats(df).count() == n
         assert set(pii.redact(df).columns) == set(df.columns)
+
+
+def test_queries_give_their_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some text {i} of a.b@c.org " * (i % 7), "en", "web", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, df in {"documents": docs, "benchmark": spark.createDataFrame([(1, "some text")], "item_id long, text string"), "labels": spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"), "pages": spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {
+        "op1_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+        "op2_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+        "op3_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op4_arrow_tokens": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+        "op5_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+        "op6_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+        "op7_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+        "op8_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+        "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op10_html": "page_id bigint, url string, text string, n_chars bigint",
+    }
+    assert set(want) == set(queries.QUERIES)
+    for name, columns in want.items():
+        out = queries.QUERIES[name](spark, str(tmp_path))
+        assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == columns, name
+        assert out.count() == (1 if name == "op10_html" else 40)
