@@ -14,6 +14,8 @@ CODECS = {"lz4": 1, "lz4hc": 2, "zlib": 4, "zstd": 5}
 FORMATS = {1: 1, 2: 1, 4: 3, 5: 4}
 SPLIT_MODES = {"always": 1, "never": 2, "auto": 3, "forward": 4}
 FILTERS = {"nofilter": 0, "none": 0, "shuffle": 1, "bitshuffle": 2, "delta": 3, "truncprec": 4, "trunc_prec": 4}
+#: Item types by their SQL names, as NumPy's.
+ITEMS = {"tinyint": "<i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}
 
 
 def parse_name(name: str, table: dict[str, int]) -> int:
@@ -47,9 +49,9 @@ def bits_float(x: pd.Series) -> pd.Series:
 
 
 def div(a: Column, n: int | Column) -> Column:
-    """Integer quotient of non-negative longs."""
+    """Integer quotient of non-negative longs, exact for all of them."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.floor(a / n).cast("long")
+    return F.call_function("div", a.cast("long"), n.cast("long"))
 
 
 def byte_of(bits: Column, j: Column) -> Column:
@@ -81,6 +83,11 @@ def automatic_blocksize(codec: Column, level: Column, mode: Column, typesize: Co
     return F.when(nbytes < typesize, F.lit(1).cast("long")).otherwise(F.when(chosen > typesize, div(chosen, typesize) * typesize).otherwise(chosen))
 
 
+def zstd_level_of(level: int) -> int:
+    """zstd_level() of a number."""
+    return 2 * level - 1 if level < 9 else 22
+
+
 def zstd_level(level: Column) -> Column:
     """The library's level for a level 0..9; 0 becomes its fast level -1."""
     return F.when(level < 9, 2 * level - 1).otherwise(22)

@@ -1,62 +1,20 @@
-"""Reversible block transforms as relations of (pos, bits): positions, blocks and bytes are rows, Catalyst plans the rest.
+"""Grids, deltas and runs as relations of (pos, bits): positions and blocks are columns, Catalyst plans the rest.
 
 Input columns are pos (dense from 0) and bits (a 64-bit word as long).  Nulls are not part of a word sequence: filter or
-fill them first.  Windows are partitioned by chunk; a block's size follows from the number of items, a scalar subquery over pos.
+fill them first.  Windows are partitioned by chunk.  Transposes, and deltas of other widths, are in filters, on binary blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import byte_of, div
+from tessella.functions import div
 
 
 def gridded(words: DataFrame, chunk: int, block: int) -> DataFrame:
-    """words with chunk_id, block_id (over all blocks), its first position and the number of items in the block."""
-    b = div(F.col("pos"), block)
-    total = words.agg(F.max("pos") + 1).scalar()
-    size = F.least(F.lit(block).cast("long"), total - F.col("block_id") * block)
-    return words.withColumn("chunk_id", div(F.col("pos"), chunk)).withColumn("block_id", b).withColumn("item", F.col("pos") % block).withColumn("n", size)
-
-
-def shuffled(words: DataFrame, block: int, width: int = 8) -> DataFrame:
-    """Byte transpose of each block: (block_id, out_pos, v)."""
-    j = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
-    rows = gridded(words, block, block).select("block_id", "item", "n", "bits", j.alias("j"))
-    return rows.select("block_id", (F.col("j") * F.col("n") + F.col("item")).alias("out_pos"), byte_of(F.col("bits"), F.col("j")).alias("v"))
-
-
-def _word(value: Column, shift: Column) -> Column:
-    """Sum of parts shifted to their place, as one word; the top part wraps into the sign."""
-    return F.bit_or(F.call_function("shiftleft", value.cast("long"), shift.cast("int")))
-
-
-def unshuffled(bytes_: DataFrame, block: int, width: int = 8) -> DataFrame:
-    """Inverse of shuffled(): (pos, bits)."""
-    n = div(F.count("*").over(Window.partitionBy("block_id")), width)
-    rows = bytes_.withColumn("n", n).withColumn("item", F.col("out_pos") % F.col("n")).withColumn("j", div(F.col("out_pos"), F.col("n")))
-    return rows.groupBy("block_id", "item").agg(_word(F.col("v"), 8 * F.col("j")).alias("bits")).select((F.col("block_id") * block + F.col("item")).alias("pos"), "bits")
-
-
-def bitshuffled(words: DataFrame, block: int) -> DataFrame:
-    """Bit transpose of the first n - n % 8 words of each block: (block_id, out_byte, v); the rest is not part of it."""
-    rows = gridded(words, block, block).where(F.col("item") < F.col("n") - F.col("n") % 8)
-    bit = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    one = rows.select("block_id", "item", (F.col("n") - F.col("n") % 8).alias("m"), "bits", bit.alias("k"))
-    one = one.withColumn("on", F.call_function("shiftright", F.col("bits"), F.col("k")).bitwiseAND(1))
-    place = F.col("k") * div(F.col("m"), 8) + div(F.col("item"), 8)
-    return one.groupBy("block_id", place.alias("out_byte")).agg(_word(F.col("on"), F.col("item") % 8).alias("v"))
-
-
-def bitunshuffled(bytes_: DataFrame, block: int) -> DataFrame:
-    """Inverse of bitshuffled(): (pos, bits)."""
-    rows = bytes_.withColumn("per", div(F.count("*").over(Window.partitionBy("block_id")), 64))
-    bit = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    one = rows.select("block_id", (F.col("out_byte") % F.col("per")).alias("group"), div(F.col("out_byte"), F.col("per")).alias("k"), "v", bit.alias("b"))
-    on = F.call_function("shiftright", F.col("v"), F.col("b")).bitwiseAND(1)
-    words = one.groupBy("block_id", (F.col("group") * 8 + F.col("b")).alias("item")).agg(_word(on, F.col("k")).alias("bits"))
-    return words.select((F.col("block_id") * block + F.col("item")).alias("pos"), "bits")
+    """words with chunk_id, block_id (over all blocks) and the place in the block."""
+    return words.withColumn("chunk_id", div(F.col("pos"), chunk)).withColumn("block_id", div(F.col("pos"), block)).withColumn("item", F.col("pos") % block)
 
 
 def delta_encoded(words: DataFrame, chunk: int, block: int) -> DataFrame:

@@ -6,15 +6,17 @@ partitioned by chunk_id.  Prefix sums run over one row per chunk, never over ite
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import div
+
 #: Chunks whose offsets one task sums up; the sums of whole groups, one row each, are broadcast.
 OFFSET_GROUP = 65_536
 
 
 def chunks_of(rows: DataFrame, size: int, pos: str = "pos", value: str = "value") -> DataFrame:
-    return rows.select(F.floor(F.col(pos) / size).cast("long").alias("chunk_id"), (F.col(pos) % size).alias("pos"), F.col(value).alias("value"))
+    return rows.select(div(F.col(pos), size).alias("chunk_id"), (F.col(pos) % size).alias("pos"), F.col(value).alias("value"))
 
 
 def append(rows: DataFrame, more: DataFrame) -> DataFrame:
@@ -48,13 +50,13 @@ def set_slice(rows: DataFrame, patch: DataFrame) -> DataFrame:
     return rows.join(patch, ["chunk_id", "pos"], "left").select("chunk_id", "pos", F.coalesce("new", "value").alias("value"))
 
 
-def offsets(sizes: DataFrame) -> DataFrame:
-    """(chunk_id, nbytes) -> with the sum of the sizes before each chunk."""
-    rows = sizes.select("chunk_id", "nbytes", F.floor(F.col("chunk_id") / OFFSET_GROUP).cast("long").alias("g"))
-    before = lambda w: F.coalesce(F.sum("nbytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = rows.groupBy("g").agg(F.sum("nbytes").alias("nbytes")).select("g", before(Window.orderBy("g")).alias("base"))
+def offsets(sizes: DataFrame, size: str = "nbytes") -> DataFrame:
+    """(chunk_id, nbytes or cbytes) -> with the sum of the sizes before each chunk."""
+    rows = sizes.select("chunk_id", size, div(F.col("chunk_id"), OFFSET_GROUP).alias("g"))
+    before = lambda w: F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("g").agg(F.sum(size).alias(size)).select("g", before(Window.orderBy("g")).alias("base"))
     inner = rows.withColumn("at", before(Window.partitionBy("g").orderBy("chunk_id")))
-    return inner.join(F.broadcast(groups), "g").select("chunk_id", "nbytes", (F.col("base") + F.col("at")).cast("long").alias("start"))
+    return inner.join(groups, "g").select("chunk_id", size, (F.col("base") + F.col("at")).cast("long").alias("start"))
 
 
 def chunk_range(sizes: DataFrame, start: int, length: int) -> DataFrame:
@@ -68,10 +70,11 @@ def chunk_range(sizes: DataFrame, start: int, length: int) -> DataFrame:
 
 
 def totals(sizes: DataFrame) -> DataFrame:
-    """Chunks, bytes, and whether the chunks differ in size (the last one may be short)."""
+    """Chunks, bytes (packed ones too where sizes has cbytes), and whether the chunks differ in size (the last one may be short)."""
     last = sizes.agg(F.max("chunk_id")).scalar()
     rows = sizes.withColumn("last", last)
-    return rows.agg(F.count("*").alias("nchunks"), F.sum("nbytes").alias("nbytes"), (F.count_distinct(F.when(F.col("chunk_id") < F.col("last"), F.col("nbytes"))) > 1).alias("variable"))
+    packed = [F.sum("cbytes").alias("cbytes")] if "cbytes" in sizes.columns else []
+    return rows.agg(F.count("*").alias("nchunks"), F.sum("nbytes").alias("nbytes"), *packed, (F.count_distinct(F.when(F.col("chunk_id") < F.col("last"), F.col("nbytes"))) > 1).alias("variable"))
 
 
 def byte_slice(blobs: DataFrame, start: int, length: int) -> DataFrame:
@@ -80,13 +83,34 @@ def byte_slice(blobs: DataFrame, start: int, length: int) -> DataFrame:
     met = placed.where((F.col("start") < start + length) & (F.col("start") + F.col("nbytes") > start))
     low = F.greatest(F.lit(start) - F.col("start"), F.lit(0))
     high = F.least(F.lit(start + length) - F.col("start"), F.col("nbytes"))
-    return blobs.select("chunk_id", "data").join(F.broadcast(met), "chunk_id").select("chunk_id", F.substring("data", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    return blobs.select("chunk_id", "data").join(met, "chunk_id").select("chunk_id", F.substring("data", (low + 1).cast("int"), (high - low).cast("int")).alias("part"))
+
+
+LAYER_KINDS = ("fixed", "vl")
+#: Bytes of a layer's name.
+LONGEST_NAME = 31
+
+
+def layer(spark: SparkSession, kind: str, name: str, content: bytes) -> DataFrame:
+    """One row of named metadata (kind, name, content); bad names and kinds raise."""
+    if kind not in LAYER_KINDS:
+        raise ValueError(f"unknown kind of layer: {kind}")
+    if not 1 <= len(name.encode()) <= LONGEST_NAME:
+        raise ValueError("a layer's name has 1 to 31 bytes")
+    return spark.createDataFrame([(kind, name, bytearray(content))], "kind string, name string, content binary")
 
 
 def upsert_layers(layers: DataFrame, more: DataFrame) -> DataFrame:
-    """Named metadata (name, content): more's rows replace those of the same name."""
-    return layers.join(more, "name", "left_anti").unionByName(more)
+    """more's rows replace those of the same kind and name; tables without a kind have one kind."""
+    return layers.join(more, [c for c in ("kind", "name") if c in layers.columns], "left_anti").unionByName(more)
+
+
+def read_layer(layers: DataFrame, name: str, kind: str | None = None) -> DataFrame:
+    """The content of a layer as one row, or none."""
+    found = layers.where(F.col("name") == name)
+    return (found.where(F.col("kind") == kind) if kind else found).select("content")
 
 
-def remove_layer(layers: DataFrame, name: str) -> DataFrame:
-    return layers.where(F.col("name") != name)
+def remove_layer(layers: DataFrame, name: str, kind: str | None = None) -> DataFrame:
+    same = (F.col("name") == name) & (F.col("kind") == kind) if kind else F.col("name") == name
+    return layers.where(~same)

@@ -9,6 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import zstd_level_of
 from tessella.operators.chunks import pack, unpack
 
 COMPRESSED = "chunk_id long, codec string, dictionary binary, blocks array<struct<block_id:long,nbytes:int,packed:binary>>"
@@ -22,6 +23,20 @@ def packed(blocks: DataFrame, per_chunk: int) -> DataFrame:
     return g.agg(F.array_sort(F.collect_list(F.struct("block_id", F.coalesce("data", F.lit(b"")).alias("data")))).alias("blocks"))
 
 
+def append(chunks: DataFrame, more: DataFrame) -> DataFrame:
+    """more's chunks behind those of chunks, both packed() or both compressed(); block ids go on behind the last one.
+
+    A ValueError if the two are of different kinds, as plain and compressed chunks do not mix.
+    """
+    if chunks.columns != more.columns:
+        raise ValueError("chunks of different kinds do not mix")
+    last = chunks.agg(F.max("chunk_id").alias("c"), F.max(F.transform("blocks", lambda b: b["block_id"])[F.size("blocks") - 1]).alias("b"))
+    after = lambda c: F.coalesce(last.select(c).scalar(), F.lit(-1)) + 1
+    moved = more.withColumn("chunk_id", F.col("chunk_id") + after("c")).withColumn("by", after("b"))
+    shifted = F.expr("transform(blocks, b -> struct(b.block_id + by AS block_id, " + ", ".join(f"b.{f} AS {f}" for f in chunks.schema["blocks"].dataType.elementType.names[1:]) + "))")
+    return chunks.unionByName(moved.withColumn("blocks", shifted).drop("by"))
+
+
 def unpacked(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode("blocks").alias("b")).select("b.block_id", "b.data")
 
@@ -61,7 +76,7 @@ def compressed(chunks: DataFrame, codec: str = "zstd", level: int = 5, dictionar
         for batch in batches:
             for chunk, blocks in zip(batch.column("chunk_id").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
                 known = _dictionary([b["data"] for b in blocks]) if dictionary else b""
-                with_it = zstandard.ZstdCompressor(level=max(1, level), dict_data=zstandard.ZstdCompressionDict(known)) if known else None
+                with_it = zstandard.ZstdCompressor(level=zstd_level_of(level), dict_data=zstandard.ZstdCompressionDict(known)) if known else None
                 done = [{"block_id": b["block_id"], "nbytes": len(b["data"]), "packed": with_it.compress(b["data"]) if with_it else pack(codec, level, b["data"])} for b in blocks]
                 schema = schema or pa.schema([("chunk_id", pa.int64()), ("codec", pa.string()), ("dictionary", pa.binary()), ("blocks", pa.list_(pa.struct([("block_id", pa.int64()), ("nbytes", pa.int32()), ("packed", pa.binary())])))])
                 yield pa.RecordBatch.from_pylist([{"chunk_id": chunk, "codec": codec, "dictionary": known, "blocks": done}], schema=schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.container import offsets
+
 #: Chunks of one directory; a range read opens the directories it meets only.
 SPAN = 64
 
@@ -38,5 +40,6 @@ def read_layers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunk_refs(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk ids and item counts without payloads: column pruning keeps those unread."""
-    return read_chunks(spark, path).select("chunk_id", "n")
+    """Of each chunk its items, sizes and offset among the packed ones, without payloads: column pruning keeps those unread."""
+    refs = read_chunks(spark, path).select("chunk_id", "n", "nbytes", "cbytes")
+    return refs.join(offsets(refs, "cbytes").select("chunk_id", "start"), "chunk_id")

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which a cluster shares; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
+    """A new folder below spark.checkpoint.dir, which a cluster shares; a temporary one where that is unset and everything runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tessella-")
     return f"{root}/tessella-{uuid.uuid4().hex}"
