@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         delete_path(spark, f"{folder}/{done}")
     kinds = again.groupBy("m", "sh").agg(F.count("*").alias("c"), F.min(F.struct("d", "th", "start")).alias("rep"), F.first("mixed").alias("mixed"))
     known = keep(kinds.where("mixed or c > 1").select("m", "sh", "rep", "mixed", (F.col("c") > 1).alias("whole")), "known")
-    many = known.where("mixed").groupBy("m").count().where(F.col("count") > MANY_KINDS).select("m", F.lit(True).alias("many"))
+    many = keep(known.where("mixed").groupBy("m").count().where(F.col("count") > MANY_KINDS).select("m", F.lit(True).alias("many")), "many")
     known = known.join(many, "m", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     marked = again.drop("mixed").join(known, ["m", "sh"]).select("d", "th", F.struct("start", "n", "m", "inner", "whole", "many", (F.col("mixed") & (F.struct("d", "th", "start") == F.col("rep"))).alias("send")).alias("r"))
     # Repeated rows (same id and text) have equal runs, which count above and are held once here.
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = rows.join(mine, ["d", "th"], "left").select("doc_id", "d", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("runs").isNotNull(), F.col("text").cast("binary")).alias("bytes"), F.when(F.col("runs").isNull(), F.col("text").cast("binary")).alias("clean"), "runs")
     clean_digest = F.sha2("clean", 256)
     met = keep(met.withColumn("clean", F.when(F.col("runs").isNull(), clean_digest)), "met")
-    for done in ("again", "known"):
+    for done in ("again", "known", "many"):
         delete_path(spark, f"{folder}/{done}")
 
     def send(batch: pa.RecordBatch) -> dict:
