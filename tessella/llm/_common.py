@@ -30,14 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root}/tessella-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors, has stable file splits."""
+def pinned(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts lineage, survives lost executors, has stable file splits.
+
+    scratch: gets the path, for drop() once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, scratch: list[str]) -> None:
+    """Remove the tables of a list and empty it."""
+    while scratch:
+        delete_path(spark, scratch.pop())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import id_and_text, map_batches, pinned
+from tessella.llm._common import drop, id_and_text, map_batches, pinned
 
 BITS, SEED = 64, 42
 TREE_NODES = 2048
@@ -186,7 +186,8 @@ def components(edges: DataFrame) -> DataFrame:
     reaches the driver.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = pinned(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark, old, new = edges.sparkSession, [], []
+    edges = pinned(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), old)
     while True:
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")).distinct())
         if ends.groupBy("node").agg(F.count("*").alias("n"), F.max("up").alias("up")).where("n > 1 and up = 1").isEmpty():
@@ -197,7 +198,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = pinned(tied.select("e.*").where("a <> b").distinct())
+        edges = pinned(tied.select("e.*").where("a <> b").distinct(), new)
+        drop(spark, old)
+        old, new = new, []
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
