@@ -502,7 +502,7 @@ def update_chunk(spark, sf_dir):
 def reorder_chunks(spark, sf_dir):
     rows = _event_chunks(spark, sf_dir)
     ids = rows.select("chunk_id").distinct()
-    order = ids.join(F.broadcast(ids.agg(F.max("chunk_id").alias("top")))).select((F.col("top") - F.col("chunk_id")).alias("new_id"), F.col("chunk_id").alias("old_id"))
+    order = ids.select((rows.agg(F.max("chunk_id")).scalar() - F.col("chunk_id")).alias("new_id"), F.col("chunk_id").alias("old_id"))
     return container.reorder(rows, order)
 
 
