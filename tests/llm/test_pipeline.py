@@ -108,6 +108,7 @@ def test_near_duplicate_stage_matches_all_pairs(spark, monkeypatch):
     for cell in (1024, 7):
         monkeypatch.setattr(near_copies, "CELL", cell)
         monkeypatch.setattr(near_copies, "TREE_NODES", 2 * cell)
+        monkeypatch.setattr(near_copies, "CELL_SHINGLES", 300 * cell)
         left = [(d.doc_id, d.text) for d in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
         assert len(left) == len(stays)
         for s in stays.values():
