@@ -135,35 +135,44 @@ def packed(values: DataFrame, chunk: int, block: int, item: str, pos: str = "pos
     if chunk % block:
         raise ValueError("the block size must divide the chunk size")
     kind = None if item == "binary" else np.dtype(ITEMS[item])
-    rows = values.selectExpr(f"{pos} div {chunk} AS chunk_id", f"{pos} AS pos", f"CAST({value} AS {item}) AS v")
-    rows = rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "pos").selectExpr("pos", "v")
+    rows = values.selectExpr(f"{pos} AS pos", f"CAST({value} AS {item}) AS v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, done = None, [], []
-
-        def flushed() -> pa.RecordBatch:
-            ids = np.array([i for i, _ in done], np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array(ids * block // chunk), pa.array(ids), pa.array([d for _, d in done], pa.binary())], names=["chunk_id", "block_id", "data"])
-            done.clear()
-            return out
+    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Items of neighbouring positions as one binary, so that what is shuffled is a row for each stretch, not for each item."""
+        for batch in batches:
+            at = batch.column("pos").to_numpy()
+            raw = np.array(batch.column("v").to_pylist(), object) if kind is None else batch.column("v").to_numpy().astype(kind)
+            if not (at[1:] > at[:-1]).all():
+                order = np.argsort(at, kind="stable")
+                at, raw = at[order], raw[order]
+            cut = [0, *(np.flatnonzero((at[1:] != at[:-1] + 1) | (at[1:] % chunk == 0)) + 1).tolist(), len(at)] if len(at) else [0]
+            first = at[cut[:-1]]
+            data = [b"".join(raw[i:j]) if kind is None else raw[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(first // chunk), pa.array(first), pa.array(np.diff(cut)), pa.array(data, pa.binary())], names=["chunk_id", "pos", "n", "data"])
+
+    parts = rows.mapInArrow(fragments, "chunk_id long, pos long, n long, data binary").repartition("chunk_id").sortWithinPartitions("chunk_id", "pos")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, items = None, [], 0
+
+        def close() -> pa.RecordBatch:
+            data = b"".join(held)
+            step = block * (len(data) // items)
+            out = [data[a : a + step] for a in range(0, len(data), step)]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(out), pa.int64()), pa.array([now * (chunk // block) + k for k in range(len(out))], pa.int64()), pa.array(out, pa.binary())], names=["chunk_id", "block_id", "data"])
 
         for batch in batches:
-            ids = batch.column("pos").to_numpy() // block
-            cut = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
-            raw = batch.column("v").to_pylist() if kind is None else batch.column("v").to_numpy().astype(kind)
-            for a, b in zip(cut, cut[1:]):
-                if ids[a] != now:
-                    if parts:
-                        done.append((now, b"".join(parts)))
-                    now, parts = int(ids[a]), []
-                parts.append(b"".join(raw[a:b]) if kind is None else raw[a:b].tobytes())
-            if done:
-                yield flushed()
-        if parts:
-            done.append((now, b"".join(parts)))
-            yield flushed()
-
-    return rows.mapInArrow(run, "chunk_id long, block_id long, data binary")
+            for c, n, data in zip(*(batch.column(k).to_pylist() for k in ("chunk_id", "n", "data")), strict=True):
+                if c != now:
+                    if held:
+                        yield close()
+                    now, held, items = c, [], 0
+                held.append(data)
+                items += n
+        if held:
+            yield close()
+
+    return parts.mapInArrow(blocks, "chunk_id long, block_id long, data binary")
 
 
 def unpacked(blocks: DataFrame, block: int, item: str, width: int = 0) -> DataFrame:
